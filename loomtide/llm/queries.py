@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtide.llm import bpe, packing, secret_scan, simhash, token_count
+from loomtide.llm import bpe, packing, pii, secret_scan, simhash, token_count
 from loomtide.llm.common import table
 
 
@@ -37,6 +37,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = pii.joined(F.filter("spans", lambda s: s["base"]))
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -47,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
         "op7_simhash": op7_simhash,
+        "op9_pii": op9_pii,
         "op10_bpe": op10_bpe,
     }
 

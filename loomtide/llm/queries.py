@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtide.llm import bpe, embedding_dedup, packing, pii, secret_scan, simhash, token_count
+from loomtide.llm import bpe, embedding_dedup, packing, pii, secret_scan, simhash, token_count, topk_bitsliced
 from loomtide.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_topk_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_bitsliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_texts(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_packing": op2_packing,
+        "op3_topk_bitsliced": op3_topk_bitsliced,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
         "op7_simhash": op7_simhash,

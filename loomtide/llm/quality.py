@@ -129,8 +129,8 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class
     return fit(texts, y, share) if len(set(y)) == 2 else share
 
 
-def score(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of df (doc_id, text)."""
+def scorer(df: DataFrame, labels: DataFrame) -> Callable[[], Callable[[list[str]], list]]:
+    """Learns from the labelled rows of df; the result makes a worker's scoring function."""
     docs = documents(df)
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
@@ -140,5 +140,10 @@ def score(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Dat
             return lambda texts: [[m] * len(texts)]
         return lambda texts: [m.scores(np.array([pooled(coder(t), m.vectors) for t in texts]).reshape(-1, DIM + 3))]
 
-    scored = per_text(docs, make, [("score", pa.float64())], "score double")
+    return make
+
+
+def score(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of df (doc_id, text)."""
+    scored = per_text(documents(df), scorer(df, labels), [("score", pa.float64())], "score double")
     return scored.select("doc_id", held_out(FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomtide.llm import bpe, embedding_dedup, packing, pii, quality, secret_scan, simhash, token_count, topk_bitsliced, toxicity
 from loomtide.llm.common import table
 
@@ -76,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_pii": op9_pii,
         "op10_bpe": op10_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -87,6 +87,9 @@ def classes(df: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) ->
     return marked.join(named, marked["fp"] == named["class_fp"]).select("doc_id", "fp", "component_id")
 
 
-def representatives(df: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The doc_ids that stay: the least of each class."""
-    return classes(df, shingle, max_bits).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+def deduplicated(df: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """df with one row of each class, that of its least doc_id; rows without an id stay."""
+    found = classes(df, shingle, max_bits)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
+    kept = df.join(first, F.col("doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(df.where("doc_id is null"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm.common import checkpointed, id_hash
@@ -68,6 +69,18 @@ class Coder:
         return np.frombuffer(b"".join(map(self._chunks.__getitem__, text.split())), dtype="<u4")
 
 
+def text_column(make: Callable[[], Callable[[list[str]], list]], text: Column) -> Column:
+    """The first of the columns that make()'s function derives from texts, as a column (null: empty)."""
+
+    @F.pandas_udf("double")
+    def derived(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        work = make()
+        for texts in batches:
+            yield pd.Series(work(texts.tolist())[0], dtype="float64")
+
+    return derived(F.coalesce(text, F.lit("")))
+
+
 PIECES = re.compile(r"[^\W_]+|[\W_]+")
 
 

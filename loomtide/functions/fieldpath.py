@@ -48,7 +48,7 @@ def _applied(c: Column, parts: list[str | int | slice]) -> Column:
     for k, part in enumerate(parts):
         if isinstance(part, slice):
             chosen, rest = _sliced(c, part), parts[k + 1 :]
-            return F.transform(chosen, lambda e, rest=rest: _applied(e, rest)) if rest else chosen
+            return F.transform(chosen, lambda e: _applied(e, rest)) if rest else chosen  # noqa: B023  used at once
         c = c.getField(part) if isinstance(part, str) else F.try_element_at(c, F.lit(part + 1 if part >= 0 else part))
     return c
 

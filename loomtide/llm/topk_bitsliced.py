@@ -82,7 +82,7 @@ def score_slices(slices: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
     columns: list[list[np.ndarray]] = [[] for _ in range(len(slices) + int(weight.max()).bit_length())]
     for c in range(int(weight.max()).bit_length()):
         own = np.nonzero(weight >> c & 1)[0]
-        for b in range(len(slices)):
+        for b in range(len(slices) if len(own) else 0):
             columns[b + c].append(signed[b, own])
     out, s = [], 0
     while s < len(columns):

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtide.model import DecodeError
 
@@ -25,7 +26,7 @@ def quantize(mm: Column, depth_max: int = DEPTH_MAX_MM) -> Column:
     """Millimetres to codes 1..1023; 0 and depths beyond the maximum become 0."""
     mm = mm.cast("long")
     code = _div(mm * CODE_MAX + depth_max // 2, F.lit(depth_max))
-    return F.when((mm <= 0) | (mm > depth_max), F.lit(0)).otherwise(F.greatest(F.lit(1), F.least(F.lit(CODE_MAX), code))).cast("int")
+    return F.when((mm <= 0) | (mm > depth_max), F.lit(0)).when(mm.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(CODE_MAX), code))).cast("int")
 
 
 def dequantize(code: Column, depth_max: int = DEPTH_MAX_MM) -> Column:
@@ -38,7 +39,7 @@ def quantize_frame(frame: Column, depth_max: int = DEPTH_MAX_MM) -> Column:
     return F.transform(frame, lambda mm: quantize(mm, depth_max))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def p010le(codes: pd.Series) -> pd.Series:
     """Codes of a frame (array<int>, even in size) as P010 bytes: luma code << 6, neutral chroma."""
     def one(c):
@@ -170,7 +171,7 @@ def compressed_depth(data: bytes, format_text: str) -> np.ndarray:
     return png16_decode(body).reshape(-1)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def decode_depth(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """(bytes, format) of compressed depth messages to millimetres."""
     for data, formats in batches:

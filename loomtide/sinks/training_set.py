@@ -126,7 +126,9 @@ def write_episodes(df: DataFrame, out_dir: str, chunk: int = CHUNK) -> list[dict
     A task streams its episodes' rows in order and holds one batch at a time.
     """
     hidden = [c for c in df.columns if c == "segment_index" or c.startswith("image_index_")]
-    schema = to_arrow_schema(df.drop(*hidden).schema)
+    names = df.columns  # with dots, which only plain names in the plan can carry
+    schema = to_arrow_schema(df.select(*(F.col(f"`{c}`") for c in names if c not in hidden)).schema)
+    at_episode, at_frame = (f"c{names.index(c)}" for c in ("episode_index", "frame_index"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, at, rows, path = None, None, 0, ""
@@ -136,7 +138,8 @@ def write_episodes(df: DataFrame, out_dir: str, chunk: int = CHUNK) -> list[dict
             os.replace(path + ".part", path)
             return pa.RecordBatch.from_pydict({"episode_index": [at], "length": [rows]})
 
-        for batch in batches:
+        for plain in batches:
+            batch = pa.RecordBatch.from_arrays(plain.columns, names=names)
             own = batch.column("episode_index").to_numpy(zero_copy_only=False)
             cuts = [0, *((own[1:] != own[:-1]).nonzero()[0] + 1).tolist(), len(own)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -155,7 +158,7 @@ def write_episodes(df: DataFrame, out_dir: str, chunk: int = CHUNK) -> list[dict
         if writer:
             yield done()
 
-    dealt = df.repartition("episode_index").sortWithinPartitions("episode_index", "frame_index")
+    dealt = df.toDF(*(f"c{k}" for k in range(len(names)))).repartition(at_episode).sortWithinPartitions(at_episode, at_frame)
     found = dealt.mapInArrow(run, "episode_index long, length long").collect()  # one row an episode
     return sorted((r.asDict() for r in found), key=lambda r: r["episode_index"])
 

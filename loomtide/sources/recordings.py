@@ -28,6 +28,11 @@ from loomtide.sources.schema_text import Definitions, externalized, parse_defini
 
 MESSAGES = "rosbag_uuid string, path string, topic string, type string, encoding string, log_time long, publish_time long, seq long, data binary"
 TOPICS = "rosbag_uuid string, path string, topic string, type string, encoding string, definition string, n_messages long"
+_TEXT, _LONG = pa.string(), pa.int64()
+_ARROW = {
+    MESSAGES: pa.schema([("rosbag_uuid", _TEXT), ("path", _TEXT), ("topic", _TEXT), ("type", _TEXT), ("encoding", _TEXT), ("log_time", _LONG), ("publish_time", _LONG), ("seq", _LONG), ("data", pa.binary())]),
+    TOPICS: pa.schema([("rosbag_uuid", _TEXT), ("path", _TEXT), ("topic", _TEXT), ("type", _TEXT), ("encoding", _TEXT), ("definition", _TEXT), ("n_messages", _LONG)]),
+}
 #: Messages, or bytes of them, of one Arrow batch.
 ROWS, BYTES = 4096, 16 << 20
 
@@ -98,7 +103,7 @@ class _Reader(DataSourceReader):
 
 
 def _batch(rows: list, ddl: str) -> pa.RecordBatch:
-    schema = to_arrow_schema(T._parse_datatype_string(ddl))
+    schema = _ARROW[ddl]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

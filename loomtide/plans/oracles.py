@@ -104,6 +104,12 @@ SELECT rs.rec, rs.segment_index, segment_label, segment_success, round(end_s - s
     "dataset_totals": f"WITH {_EPISODES}, {_TASKS} SELECT (SELECT count(*) FROM e) AS total_episodes, (SELECT CAST(sum(length) AS BIGINT) FROM e) AS total_frames, (SELECT count(DISTINCT task) FROM tasks) AS total_tasks, (SELECT count(*) * 2 FROM e) AS total_videos, (SELECT CAST(ceil(count(*) / 1000) AS BIGINT) FROM e) AS total_chunks",
     "depth_quantize": "WITH l AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice / 20) AS BIGINT) AS mm FROM lineitem), q AS (SELECT *, CASE WHEN mm <= 0 OR mm > 4092 THEN 0 ELSE greatest(1, least(1023, (mm * 1023 + 2046) // 4092)) END AS code FROM l) SELECT l_orderkey, l_linenumber, mm, CAST(code AS BIGINT) AS code, CAST((code * 4092 + 511) // 1023 AS BIGINT) AS back FROM q",
     "payload_index": "WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages) SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS \"index\" FROM p",
+    "payload_lookup": "WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, strlen(html) AS n_bytes FROM pages) SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS \"index\" FROM p",
+    "topic_routes": "WITH k AS (SELECT page_id, CAST(page_id % 5 + 1 AS INTEGER) AS k FROM pages) SELECT page_id, '/cam' || page_id || ['/image/compressed', '/depth/compressedDepth', '/image_raw', '/points', '/joint_states'][k] AS topic, ['compressed_image', 'compressed_depth', 'image', 'point_cloud', 'plain'][k] AS route FROM k",
+    "task_table": "WITH f AS (SELECT conv_id, role AS task, min((turn, role)) AS seen FROM conversations GROUP BY ALL) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY seen) - 1 AS task_index, task FROM f",
+    "image_shapes": "WITH p AS (SELECT p_partkey % 50 AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS own, p_size FROM part) SELECT '/cam' || k || '/image/compressed' AS topic, coalesce(max(own), max(p_size + 100)) AS height, coalesce(max(own * 2), max(p_size)) AS width FROM p GROUP BY k",
+    "channel_stats": "WITH u AS (SELECT label, vec_id, unnest(range(len(embedding))) % 4 AS c, CAST(trunc(abs(unnest(embedding) * CAST(255 AS FLOAT))) AS INTEGER) / 255.0::DOUBLE AS x FROM embeddings) SELECT label, " + ", ".join(f"round({f}(x) FILTER (c = {k}), 6) AS {n}{k}" for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop")) for k in (0, 3)) + ", count(DISTINCT vec_id) AS count FROM u GROUP BY label",
+    "command_synthesis": f"WITH {EV}, s AS (SELECT rec, arg_min(value, timestamp_ns) AS v, arg_min(seq, timestamp_ns) AS q FROM ev WHERE topic = 'view' GROUP BY rec) SELECT ev.rec, timestamp_ns, seq, CAST(q AS DOUBLE) AS p0, v AS p1, 'a,b' AS joints FROM ev JOIN s ON ev.rec = s.rec WHERE topic = 'click'",
     "topic_file_stem": f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), s AS (SELECT *, string_split(path, '/') AS parts FROM p) SELECT page_id, replace(ltrim(path, '/'), '/', '__') AS stem, parts[len(parts)] AS last, array_to_string(parts[1:len(parts) - 2], '/') || '/camera_info' AS info FROM s",
     "payload_format": "SELECT doc_id, ['jpg', 'png', 'webp', 'bin', 'jpg'][CAST(doc_id % 5 + 1 AS INTEGER)] AS format, 'episode_' || CASE WHEN doc_id < 1000000 THEN lpad(CAST(doc_id AS VARCHAR), 6, '0') ELSE CAST(doc_id AS VARCHAR) END AS episode, source || ':' || n_chars AS segment_id FROM documents",
     "feature_compat": """WITH a AS (SELECT 'f' || p_partkey AS name, p_brand AS d, CASE WHEN p_size % 11 = 1 THEN 0 ELSE p_size END AS s FROM part WHERE p_partkey % 7 <> 1), b AS (SELECT 'f' || p_partkey AS name, p_brand AS d, CASE WHEN p_size % 11 = 2 THEN 0 ELSE p_size END AS s FROM part WHERE p_partkey % 7 <> 2)

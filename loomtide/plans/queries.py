@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtide.functions import depth, naming
 from loomtide.functions.fieldpath import field
 from loomtide.operators import asof as asof_ops
-from loomtide.operators import episodes, merge, metrics, payload, shift, stats, sync, tf
+from loomtide.operators import commands, episodes, merge, metrics, payload, shift, stats, sync, tf
 
 HOUR = 3_600_000_000_000
 DAY = 24 * HOUR
@@ -312,6 +312,49 @@ def metadata_json(spark, sf_dir):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), (F.length("props") > 2).alias("has"))
 
 
+def payload_lookup(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.col("html").cast("binary").alias("data"))
+    table, side = payload.externalized(p, "data", ["host"], ["page_id"])
+    return payload.lookup(table, side, ["host"]).select("page_id", "host", "index", F.octet_length("bytes").alias("n_bytes"))
+
+
+def topic_routes(spark, sf_dir):
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % 5 + 1).cast("int"))
+    topic = F.concat(F.lit("/cam"), F.col("page_id").cast("string"), pick("/image/compressed", "/depth/compressedDepth", "/image_raw", "/points", "/joint_states"))
+    kind = pick("sensor_msgs/msg/CompressedImage", "sensor_msgs/msg/CompressedImage", "sensor_msgs/msg/Image", "sensor_msgs/msg/PointCloud2", "sensor_msgs/msg/JointState")
+    return read(spark, sf_dir, "pages").select("page_id", topic.alias("topic"), naming.route(topic, kind).alias("route"))
+
+
+def task_table(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda t: t["role"]).alias("labels"))
+    return episodes.task_table(turns, ["conv_id"])
+
+
+def image_shapes(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    name = F.concat(F.lit("/cam"), (F.col("p_partkey") % 50).cast("string"))
+    own = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size"))
+    images = p.select(F.concat(name, F.lit("/image/compressed")).alias("topic"), own.alias("height"), (own * 2).alias("width"))
+    infos = p.select(F.concat(name, F.lit("/camera_info")).alias("topic"), (F.col("p_size") + 100).alias("height"), F.col("p_size").alias("width"))
+    return payload.image_shapes(images, infos)
+
+
+def channel_stats(spark, sf_dir):
+    pixels = F.transform("embedding", lambda x: F.abs(x * 255).cast("int"))
+    out = stats.channel_stats(read(spark, sf_dir, "embeddings").select("label", pixels.alias("pixels")), "pixels", ["label"], 4)
+    return out.select("label", *(r6(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in ("min", "max", "mean", "std") for k in (0, 3)), "count")
+
+
+def command_synthesis(spark, sf_dir):
+    ev = events(spark, sf_dir).withColumnRenamed("rec", "rosbag_uuid")
+    nothing = "array<struct<positions:array<double>,velocities:array<double>,accelerations:array<double>,effort:array<double>,time_from_start:struct<sec:int,nanosec:bigint>>>"
+    template = ev.where("topic = 'click'").select("rosbag_uuid", "timestamp_ns", "seq", F.array().cast("array<string>").alias("joint_names"), F.array().cast(nothing).alias("points"))
+    state = ev.where("topic = 'view'").select("rosbag_uuid", "timestamp_ns", F.array("value", F.col("seq").cast("double")).alias("position"))
+    made = commands.constant_command(template, state, commands.CommandSpec("/c", "/s", "position", (1, 0), ("a", "b"), "/t"))
+    point = F.get("points", F.lit(0))["positions"]
+    return made.select(F.col("rosbag_uuid").alias("rec"), "timestamp_ns", "seq", F.get(point, F.lit(0)).alias("p0"), F.get(point, F.lit(1)).alias("p1"), F.array_join("joint_names", ",").alias("joints"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_catalog": topic_catalog,
     "timeline_bounds": timeline_bounds,
@@ -351,6 +394,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dataset_totals": dataset_totals,
     "depth_quantize": depth_quantize,
     "payload_index": payload_index,
+    "payload_lookup": payload_lookup,
+    "topic_routes": topic_routes,
+    "task_table": task_table,
+    "image_shapes": image_shapes,
+    "channel_stats": channel_stats,
+    "command_synthesis": command_synthesis,
     "topic_file_stem": topic_file_stem,
     "payload_format": payload_format,
     "feature_compat": feature_compat,

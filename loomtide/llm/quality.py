@@ -28,6 +28,8 @@ from loomtide.llm.common import documents, per_text
 from loomtide.llm.training import MAX_ROWS_PER_CLASS, PIECES, Adam, Coder, bucket, held_out, sample, sigmoid
 
 BUCKETS, DIM, NONZERO, SPAN, SEED = 1 << 16, 64, 6, 2, 7
+#: Terms of a text whose neighbours are added at once, and chunks remembered while fitting.
+SEQUENCE, FIT_CACHE = 16_384, 50_000
 HIDDEN, STEPS, THRESHOLD = 24, 400, 0.3
 FOLDS, FOLD = 5, 0
 
@@ -46,26 +48,29 @@ def terms_of(chunk: str) -> list[int]:
 def index_vectors(buckets: int = BUCKETS, dim: int = DIM, nonzero: int = NONZERO, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(places, signs), each (buckets, nonzero): the sparse ternary index vectors."""
     rng = np.random.default_rng(seed)
-    return rng.integers(0, dim, (buckets, nonzero)), rng.choice([-1.0, 1.0], (buckets, nonzero))
+    return rng.integers(0, dim, (buckets, nonzero)), rng.choice([-1.0, 1.0], (buckets, nonzero)).astype(np.float32)
 
 
 def term_vectors(sequences: list[np.ndarray]) -> np.ndarray:
     """Unit index vectors plus unit context vectors, (BUCKETS, DIM) float32."""
     places, signs = index_vectors()
-    base = np.zeros((BUCKETS, DIM))
-    np.add.at(base, (np.arange(BUCKETS)[:, None], places), signs)
-    context = np.zeros(BUCKETS * DIM)
+    context = np.zeros(BUCKETS * DIM, dtype=np.float32)
     for seq in sequences:
         s = seq.astype(np.int64)
         for gap in range(1, SPAN + 1):
             for here, there in ((s[:-gap], s[gap:]), (s[gap:], s[:-gap])):
-                if len(here):
-                    cells = (here[:, None] * DIM + places[there]).reshape(-1)
+                for at in range(0, len(here), SEQUENCE):
+                    one, other = here[at : at + SEQUENCE], there[at : at + SEQUENCE]
+                    cells = (one[:, None] * DIM + places[other]).reshape(-1)
                     own, inverse = np.unique(cells, return_inverse=True)
-                    context[own] += np.bincount(inverse, weights=signs[there].reshape(-1))
+                    context[own] += np.bincount(inverse, weights=signs[other].reshape(-1))
+    vectors = np.zeros((BUCKETS, DIM), dtype=np.float32)
+    np.add.at(vectors, (np.arange(BUCKETS)[:, None], places), signs)
     context = context.reshape(BUCKETS, DIM)
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    return (unit(base) + unit(context)).astype(np.float32)
+    for m in (vectors, context):
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    vectors += context
+    return vectors
 
 
 def pooled(codes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -94,7 +99,7 @@ class Model:
 
 
 def fit(texts: list[str], y: np.ndarray, share: float, seed: int = SEED) -> Model:
-    coder = Coder(terms_of)
+    coder = Coder(terms_of, FIT_CACHE)
     sequences = [coder(t) for t in texts]
     vectors = term_vectors(sequences)
     x = np.array([pooled(s, vectors) for s in sequences])

@@ -27,6 +27,8 @@ from loomtide.llm.training import MAX_ROWS_PER_CLASS, PIECES, Adam, Coder, bucke
 
 BUCKETS, RANK, SEED = 1 << 18, 8, 11
 MAX_TERMS, MIN_CHI2, MIN_DOCS = 1024, 15.0, 3
+#: Chunks remembered while fitting.
+FIT_CACHE = 50_000
 STEPS, THRESHOLD = 300, 0.3
 FOLDS, FOLD = 4, 2
 
@@ -70,23 +72,23 @@ def related(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], y: np.ndarray, share: float, seed: int = SEED) -> Model:
-    coder = Coder(terms_of)
+    coder = Coder(terms_of, FIT_CACHE)
     sets = [np.unique(coder(t)) for t in texts]
     chosen = related(sets, y)
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen)))
+    x = np.zeros((len(y), len(chosen)), dtype=np.float32)
     for r, s in enumerate(sets):
         own = place[s]
         x[r, own[own >= 0]] = 1
     rng = np.random.default_rng(seed)
-    bias, w, v = np.zeros(1), np.zeros(len(chosen)), rng.standard_normal((len(chosen), RANK)) * 0.05
+    bias, w, v = np.zeros(1, dtype=np.float32), np.zeros(len(chosen), dtype=np.float32), (rng.standard_normal((len(chosen), RANK)) * 0.05).astype(np.float32)
     adam = Adam([bias, w, v], 0.05)
     for _ in range(STEPS):
         xv = x @ v
         z = bias + x @ w + 0.5 * ((xv**2).sum(axis=1) - (x @ (v * v)).sum(axis=1))
-        d = (sigmoid(z) - y) / len(y)
-        adam.step([np.array([d.sum()]), x.T @ d + 1e-4 * w, x.T @ (d[:, None] * xv) - (x.T @ d)[:, None] * v + 1e-3 * v])
+        d = ((sigmoid(z) - y) / len(y)).astype(np.float32)
+        adam.step([d.sum(keepdims=True), x.T @ d + 1e-4 * w, x.T @ (d[:, None] * xv) - (x.T @ d)[:, None] * v + 1e-3 * v])
     drawn, share = (np.clip(s, 1e-3, 1 - 1e-3) for s in (y.mean(), share))
     offset = np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
     return Model(place, float(bias[0] + offset), w, v)

@@ -1,10 +1,11 @@
 """As-of joins as one exchange and sorted windows.
 
 Targets and source rows are unioned, dealt by key and time bucket, and sorted; a window picks the
-last (or first) source row as one struct, so that nulls inside a matched row stay null. A target
-without a match in its bucket takes the nearest non-empty bucket's edge row, which a small
-aggregate over buckets carries across. So no task ever holds a whole key: a topic with a third
-of all rows is spread over its buckets.
+last (or first) source row as one struct, so that nulls inside a matched row stay null. What a
+bucket's targets may need from other buckets is one row: the last source row of the nearest
+earlier non-empty bucket (or the first of the nearest later one). Those rows come from a small
+aggregate over buckets and are unioned in as further source rows, so there is no join, and no
+task ever holds a whole key: a topic with a third of all rows is spread over its buckets.
 """
 
 from __future__ import annotations
@@ -25,22 +26,16 @@ def bucket_of(t: Column, bucket_ns: int = BUCKET_NS) -> Column:
     return F.call_function("div", t - F.pmod(t, F.lit(bucket_ns)), F.lit(bucket_ns))
 
 
-def _same(keys: Sequence[str], left: DataFrame, right: DataFrame, prefix: str) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[f"{prefix}{k}"])
-    return condition
-
-
-def carried(df: DataFrame, keys: Sequence[str], bucket: str, value: Column, backward: bool = True) -> DataFrame:
-    """df with __carry: the value of the nearest earlier (or later) bucket that has one.
-
-    value is an aggregate over a bucket, null where the bucket has nothing to carry.
-    """
-    edges = df.groupBy(*keys, bucket).agg(value.alias("__edge"))
-    w = Window.partitionBy(*keys).orderBy(F.col(bucket).asc() if backward else F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select(*(F.col(k).alias(f"__c_{k}") for k in (*keys, bucket)), F.last("__edge", ignorenulls=True).over(w).alias("__carry"))
-    return df.join(edges, _same([*keys, bucket], df, edges, "__c_"), "left").drop(*(f"__c_{k}" for k in (*keys, bucket)))
+def _edges(left: DataFrame, right: DataFrame, keys: Sequence[str], back: bool) -> DataFrame:
+    """For each bucket with targets, the source row that other buckets bring to it, with that bucket's number."""
+    order = F.struct(_T, _SEQ)
+    held = F.struct(_T, _SEQ, _ROW)
+    own = right.groupBy(*keys, _BUCKET).agg((F.max_by(held, order) if back else F.min_by(held, order)).alias("__edge")).withColumn("__source", F.lit(1))
+    asked = left.select(*keys, _BUCKET).distinct().withColumn("__edge", F.lit(None).cast(own.schema["__edge"].dataType)).withColumn("__source", F.lit(0))
+    # A bucket's own edge comes after its targets' row, so only other buckets' edges lie before it.
+    w = Window.partitionBy(*keys).orderBy(F.col(_BUCKET).asc() if back else F.col(_BUCKET).desc(), "__source").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.unionByName(asked).withColumn("__carry", F.last("__edge", ignorenulls=True).over(w))
+    return carried.where("__source = 0 and __carry is not null").select(*keys, _BUCKET, "__carry.*")
 
 
 def asof(
@@ -59,27 +54,24 @@ def asof(
     after it. Equal times are ordered by seq, then by the row itself. Rows with a null time take
     no part on the source side and match nothing as targets.
     """
+    keys = [*by]
     row = F.struct(*(F.col(f"`{c}`") for c in source.columns)).alias(_ROW)
-    rank = F.struct(*(F.col(c) for c in seq)) if seq else None
-    kind = source.select(row).schema[_ROW].dataType
-    right = source.where(F.col(source_time).isNotNull()).select(*by, F.col(source_time).cast("long").alias(_T), F.lit(1).alias(_SIDE), (rank if rank is not None else F.struct(F.lit(0).alias("n"))).alias(_SEQ), row)
-    empty = F.lit(None).cast(right.schema[_SEQ].dataType).alias(_SEQ)
+    rank = F.struct(*(F.col(c) for c in seq)) if seq else F.struct(F.lit(0).alias("n"))
+    right = source.where(F.col(source_time).isNotNull()).select(*keys, F.col(source_time).cast("long").alias(_T), rank.alias(_SEQ), row).withColumn(_BUCKET, bucket_of(F.col(_T), bucket_ns))
     held = F.struct(*(F.col(f"`{c}`") for c in targets.columns)).alias("__target")
-    left = targets.select(*by, F.col(target_time).cast("long").alias(_T), F.lit(0).alias(_SIDE), empty, F.lit(None).cast(kind).alias(_ROW), held)
-    right = right.withColumn("__target", F.lit(None).cast(left.schema["__target"].dataType))
-    both = left.unionByName(right).withColumn(_BUCKET, bucket_of(F.col(_T), bucket_ns))
-    keys = [*by]
-    out, extra = both, []
+    left = targets.select(*keys, F.col(target_time).cast("long").alias(_T), held).withColumn(_BUCKET, bucket_of(F.col(_T), bucket_ns))
+    target_type = left.schema["__target"].dataType
+    both = right
+    for direction in directions:
+        both = both.unionByName(_edges(left, right, keys, direction == "backward"))
+    both = both.withColumn(_SIDE, F.lit(1)).withColumn("__target", F.lit(None).cast(target_type))
+    both = both.unionByName(left.withColumn(_SIDE, F.lit(0)).withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in (_SEQ, _ROW)}))
+    out = both
     for direction in directions:
-        back = direction == "backward"
         # Backward, sources come before targets of the same time; forward, read from the end, too.
+        back = direction == "backward"
         order = [F.col(_T).asc(), F.col(_SIDE).desc(), F.col(_SEQ).asc()] if back else [F.col(_T).desc(), F.col(_SIDE).desc(), F.col(_SEQ).desc()]
         w = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumn(f"__{direction}", F.last(_ROW, ignorenulls=True).over(w))
-        edge_order = F.struct(F.col(_T), F.col(_SEQ))
-        edge = (F.max_by(_ROW, F.when(F.col(_SIDE) == 1, edge_order)) if back else F.min_by(_ROW, F.when(F.col(_SIDE) == 1, edge_order)))
-        extra.append((direction, edge, back))
-    for direction, edge, back in extra:
-        out = carried(out, keys, _BUCKET, edge, back).withColumn(f"__{direction}", F.coalesce(f"__{direction}", "__carry")).drop("__carry")
     matched = [F.when(F.col(_T).isNotNull(), F.col(f"__{d}")).alias(d) for d in directions]
     return out.where(F.col(_SIDE) == 0).select("__target.*", *matched)

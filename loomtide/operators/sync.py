@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtide.model import FRESH, NS, SYNCED, TIMESTAMP, Recording, SynchronizeError, keys_of
-from loomtide.operators.asof import BUCKET_NS, asof, bucket_of, carried
+from loomtide.operators.asof import BUCKET_NS, asof
 
 #: Grid points that one row is expanded to at once.
 CHUNK = 65_536
@@ -38,8 +38,8 @@ def bounds(long: DataFrame, by: Sequence[str], topic: str = "topic", time: str =
     return topic_bounds(long, by, topic, time).groupBy(*by).agg(F.max("first_ns").alias("start_ns"), F.max("last_ns").alias("end_ns"))
 
 
-def grid(limits: DataFrame, step: int, name: str = SYNCED) -> DataFrame:
-    """One row for each point start_ns, start_ns + step, ... up to and including end_ns.
+def grid(limits: DataFrame, step: int, name: str = SYNCED, keep_start: bool = False) -> DataFrame:
+    """One row for each point start_ns, start_ns + step, ... up to and including end_ns; keep_start keeps start_ns.
 
     Long timelines are expanded by chunks, so no row holds more than CHUNK points.
     """
@@ -47,24 +47,31 @@ def grid(limits: DataFrame, step: int, name: str = SYNCED) -> DataFrame:
     sized = limits.where("end_ns >= start_ns").withColumn("__last", F.expr(f"(end_ns - start_ns) div {step}L"))
     chunks = sized.select(*rest, "start_ns", "__last", F.explode(F.expr(f"sequence(0L, __last div {CHUNK})")).alias("__chunk"))
     points = F.expr(f"sequence(__chunk * {CHUNK}, least(__last, __chunk * {CHUNK} + {CHUNK - 1}))")
-    return chunks.select(*rest, "start_ns", F.explode(points).alias("__i")).select(*rest, (F.col("start_ns") + F.col("__i") * step).alias(name))
+    return chunks.select(*rest, "start_ns", F.explode(points).alias("__i")).select(*rest, *(["start_ns"] if keep_start else []), (F.col("start_ns") + F.col("__i") * step).alias(name))
 
 
-def with_freshness(df: DataFrame, by: Sequence[str], matched: Column, time: str = SYNCED, bucket_ns: int = BUCKET_NS) -> DataFrame:
-    """df with is_fresh: matched is not null and differs from the row before; a bucketed lag."""
-    here = df.withColumn("__m", matched).withColumn("__b", bucket_of(F.col(time), bucket_ns))
-    w = Window.partitionBy(*by, "__b").orderBy(time)
-    here = here.withColumn("__first", F.row_number().over(w) == 1).withColumn("__lag", F.lag("__m").over(w))
-    # A bucket's last match may be null; wrapped, it still counts as the row before.
-    here = carried(here, by, "__b", F.max_by(F.struct("__m"), F.col(time)))
-    before = F.when(F.col("__first"), F.col("__carry")["__m"]).otherwise(F.col("__lag"))
-    return here.withColumn(FRESH, F.col("__m").isNotNull() & ~F.col("__m").eqNullSafe(before)).drop("__m", "__b", "__first", "__lag", "__carry")
+def with_freshness(df: DataFrame, by: Sequence[str], matched: Column, time: str = SYNCED) -> DataFrame:
+    """df with is_fresh: matched, a time, is not null and differs from that of the row before.
+
+    The lag runs over a topic's grid, which is as long as the recording, however many messages
+    the topic has.
+    """
+    before = F.lag("__m").over(Window.partitionBy(*by).orderBy(time))
+    return df.withColumn("__m", matched).withColumn(FRESH, F.col("__m").isNotNull() & ~F.col("__m").eqNullSafe(before)).drop("__m")
 
 
-def hold(targets: DataFrame, source: DataFrame, by: Sequence[str], seq: Sequence[str] = (), time: str = TIMESTAMP, bucket_ns: int = BUCKET_NS) -> DataFrame:
-    """Zero-order hold: the targets (by, synched_timestamp_ns) with the struct row, and is_fresh."""
-    matched = asof(targets, source, by, SYNCED, time, seq, ("backward",), bucket_ns).withColumnRenamed("backward", "row")
-    return with_freshness(matched, by, F.col("row")[time], SYNCED, bucket_ns)
+def hold(targets: DataFrame, source: DataFrame, by: Sequence[str], seq: Sequence[str] = (), time: str = TIMESTAMP, step: int | None = None, bucket_ns: int = BUCKET_NS) -> DataFrame:
+    """Zero-order hold: the targets (by, synched_timestamp_ns) with the struct row, and is_fresh.
+
+    With step, targets are a regular grid with its start_ns: a held row is fresh if it came after
+    the last grid time, or stands at the start, and no row needs to see another.
+    """
+    held = asof(targets, source, by, SYNCED, time, seq, ("backward",), bucket_ns).withColumnRenamed("backward", "row")
+    matched = F.col("row")[time]
+    if step is None:
+        return with_freshness(held, by, matched)
+    late = (matched > F.col(SYNCED) - step) | (matched.isNotNull() & (F.col(SYNCED) == F.col("start_ns")))
+    return held.withColumn(FRESH, F.coalesce(late, F.lit(False))).drop("start_ns")
 
 
 def nearest(targets: DataFrame, source: DataFrame, by: Sequence[str], seq: Sequence[str] = (), time: str = TIMESTAMP, bucket_ns: int = BUCKET_NS) -> DataFrame:
@@ -73,7 +80,7 @@ def nearest(targets: DataFrame, source: DataFrame, by: Sequence[str], seq: Seque
     back, ahead = F.col(SYNCED) - F.col("backward")[time], F.col("forward")[time] - F.col(SYNCED)
     later = F.col("forward").isNotNull() & (F.col("backward").isNull() | (ahead < back))
     chosen = both.withColumn("row", F.when(later, F.col("forward")).otherwise(F.col("backward"))).drop("backward", "forward")
-    return with_freshness(chosen, by, F.col("row")[time], SYNCED, bucket_ns)
+    return with_freshness(chosen, by, F.col("row")[time])
 
 
 def _long_times(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, list[str]]:
@@ -103,12 +110,15 @@ def synchronize(tables: Mapping[str, DataFrame], fps: float, method: str = "zero
     """Each topic on the common grid: synched_timestamp_ns, the topic's columns, is_fresh."""
     if method not in ("zero_order_hold", "nearest_neighbor"):
         raise SynchronizeError(f"unknown method {method!r}")
-    points = grid(timeline_bounds(tables, strict), step_ns(fps))
+    step, limits = step_ns(fps), timeline_bounds(tables, strict)
+    holds = method == "zero_order_hold"
+    points = grid(limits, step, keep_start=holds)
     out = {}
     for topic, df in tables.items():
         by = keys_of(df)
         tie = [c for c in seq if c in df.columns]
-        out[topic] = _spread((hold if method == "zero_order_hold" else nearest)(points, df, by, tie), df, by, True)
+        matched = hold(points, df, by, tie, step=step) if holds else nearest(points, df, by, tie)
+        out[topic] = _spread(matched, df, by, True)
     return out
 
 

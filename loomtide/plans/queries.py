@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomtide.functions import depth, naming
 from loomtide.functions.fieldpath import field
@@ -35,10 +36,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("rec"), F.col("event_type").alias("topic"), ns.alias("timestamp_ns"), F.col("event_id").alias("seq"), "value")
 
 
-def topics_grid(ev: DataFrame, step: int = HOUR) -> DataFrame:
-    """(rec, topic, synched_timestamp_ns)."""
-    points = sync.topic_bounds(ev, REC).join(sync.bounds(ev, REC), "rec").select("rec", "topic", "start_ns", "end_ns")
-    return sync.grid(points, step)
+def topics_grid(ev: DataFrame, step: int = HOUR, keep_start: bool = False) -> DataFrame:
+    """(rec, topic, synched_timestamp_ns): both bounds come from one aggregate over topics."""
+    by_rec = Window.partitionBy("rec")
+    limits = sync.topic_bounds(ev, REC).select("rec", "topic", F.max("first_ns").over(by_rec).alias("start_ns"), F.max("last_ns").over(by_rec).alias("end_ns"))
+    return sync.grid(limits, step, keep_start=keep_start)
 
 
 def r6(c: Column | str) -> Column:
@@ -59,7 +61,7 @@ def timeline_grid(spark, sf_dir):
 
 def sync_zoh(spark, sf_dir):
     ev = events(spark, sf_dir)
-    held = sync.hold(topics_grid(ev), ev, TOPIC, ["seq"], bucket_ns=BUCKET)
+    held = sync.hold(topics_grid(ev, HOUR, True), ev, TOPIC, ["seq"], step=HOUR, bucket_ns=BUCKET)
     return held.select("rec", "topic", "synched_timestamp_ns", F.col("row.timestamp_ns").alias("timestamp_ns"), F.col("row.seq").alias("seq"), F.col("row.value").alias("value"), "is_fresh")
 
 
@@ -207,7 +209,7 @@ def field_path_slice(spark, sf_dir):
 
 def segment_assemble(spark, sf_dir):
     ev = events(spark, sf_dir)
-    held = sync.hold(topics_grid(ev), ev, TOPIC, ["seq"], bucket_ns=BUCKET).select("rec", "topic", "synched_timestamp_ns", F.col("row.value").alias("value"), "is_fresh")
+    held = sync.hold(topics_grid(ev, HOUR, True), ev, TOPIC, ["seq"], step=HOUR, bucket_ns=BUCKET).select("rec", "topic", "synched_timestamp_ns", F.col("row.value").alias("value"), "is_fresh")
     parts = {t: held.where(F.col("topic") == t).select("rec", "synched_timestamp_ns", F.col("value").alias(t), F.col("is_fresh").alias(f"{t}_fresh")) for t in REQUIRED}
     return episodes.assembled(parts, segments_frame(spark), REC).select("rec", "segment_index", "synched_timestamp_ns", *REQUIRED, *(f"{t}_fresh" for t in REQUIRED))
 

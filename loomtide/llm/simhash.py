@@ -40,8 +40,12 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     if not words:
         return 0
     runs = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), runs), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit that most of the 64-bit hashes have; 0 of none."""
     votes, total = np.zeros(64, dtype=np.int64), 0
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), runs), dtype="<u8")
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)

@@ -17,7 +17,7 @@ from loomtide.llm.tokenization import BoundedCache
 
 #: At most so many training rows of each class; their texts alone come to the driver.
 MAX_ROWS_PER_CLASS = 3000
-#: And at most so many bytes of them, as whole texts.
+#: And at most so many bytes of them, as whole texts; half for each class, and what one leaves for both.
 MAX_BYTES = 64 << 20
 CACHE = 400_000
 
@@ -27,11 +27,20 @@ def held_out(folds: int, fold: int):
     return F.coalesce(id_hash(F.col("doc_id"), folds) == fold, F.lit(True))
 
 
+def fitting(sizes: list[tuple[int, int]], room: int) -> Iterator[int]:
+    """Ids in order, without those whose size exceeds the room that is left."""
+    for k, size in sizes:
+        if size <= room:
+            room -= size
+            yield k
+
+
 def sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, per_class: int = MAX_ROWS_PER_CLASS) -> tuple[list[str], np.ndarray, float]:
     """(texts, labels, share of class 1 among all rows that may be learnt from).
 
     Rows of each class are taken by a hash of their id, so the sample is the same on every run;
-    its size doesn't grow with the input. The share is counted over all labelled rows.
+    its size doesn't grow with the input. The share is counted over all labelled rows. A text
+    that doesn't fit what is left of the bytes is passed over; one of over MAX_BYTES is never learnt from.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(folds, fold))
@@ -46,11 +55,10 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: in
     wanted = docs.sparkSession.createDataFrame([(k,) for k in chosen], "wanted long")  # at most 2 * per_class rows
     kept = checkpointed(docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"), "left_semi").select("doc_id", "text", F.octet_length("text").alias("size")))
     place = {k: i for i, k in enumerate(turns)}  # the classes take turns
-    total, inside = 0, set()
-    for r in sorted(kept.groupBy("doc_id").agg(F.sum("size").alias("size")).collect(), key=lambda r: place[r["doc_id"]]):
-        total += r["size"]
-        if total <= MAX_BYTES or not inside:
-            inside.add(r["doc_id"])
+    sizes = [(r["doc_id"], r["size"]) for r in sorted(kept.groupBy("doc_id").agg(F.sum("size").alias("size")).collect(), key=lambda r: place[r["doc_id"]])]
+    inside = set(fitting([x for x in sizes if chosen[x[0]] == 0], MAX_BYTES // 2)) | set(fitting([x for x in sizes if chosen[x[0]] == 1], MAX_BYTES // 2))
+    used = sum(n for k, n in sizes if k in inside)
+    inside |= set(fitting([x for x in sizes if x[0] not in inside], MAX_BYTES - used))
     texts = sorted({(r["doc_id"], r["text"]) for r in kept.where(F.col("doc_id").isin(list(inside))).select("doc_id", "text").collect()})
     return [t for _, t in texts], np.array([chosen[k] for k, _ in texts], dtype=float), counts.get(1, 0) / sum(counts.values())
 

@@ -39,11 +39,12 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: in
     """(texts, labels, share of class 1 among all rows that may be learnt from).
 
     Rows of each class are taken by a hash of their id, so the sample is the same on every run;
-    its size doesn't grow with the input. The share is counted over all labelled rows. A text
+    its size doesn't grow with the input. Sample and share are of the labels of ids in docs. A text
     that doesn't fit what is left of the bytes is passed over; one of over MAX_BYTES is never learnt from.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(folds, fold))
+    rows = checkpointed(rows.join(docs.select(F.col("doc_id").alias("there")).distinct(), F.col("doc_id") == F.col("there"), "left_semi"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     own: dict[int, dict[int, int]] = {}
     for y in sorted(counts):

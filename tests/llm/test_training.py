@@ -25,3 +25,11 @@ def test_each_class_has_its_share_of_the_bytes(spark, monkeypatch):
     docs, labels = rows(spark, 300, set(range(0, 300, 2)))
     _, y, _ = training.sample(docs, labels, "quality", 5, 0)
     assert (y == 0).sum() == 2 and (y == 1).sum() > 100
+
+
+def test_sample_and_share_are_of_the_rows_at_hand(spark):
+    docs, labels = rows(spark, 300)
+    few = docs.where("doc_id % 2 = 1 or doc_id < 100")
+    texts, y, share = training.sample(few, labels, "quality", 5, 0, 20)
+    there = few.join(labels, "doc_id").where(~training.held_out(5, 0))
+    assert (y == 0).sum() == 20 == (y == 1).sum() and share == there.where("quality = 1").count() / there.count()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtide.operators.checkpoints import checkpointed as checkpointed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark alone so that any store works."""
@@ -20,18 +22,6 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder of the session.
-
-    The folder is spark.checkpoint.dir; a temporary one is made only where none is set (tests).
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def id_hash(column: Column, buckets: int, rest: Column | None = None) -> Column:
     """crc32 of the id written as decimal text, modulo buckets."""
     return F.crc32(column.cast("string").cast("binary")) % buckets
@@ -63,3 +53,37 @@ def slices(batch: pa.RecordBatch, max_bytes: int = 16 << 20) -> Iterator[pa.Reco
         return
     for at in range(0, rows, step):
         yield batch.slice(at, step)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys (numbers without nulls) as tables, from batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+        cuts = np.nonzero((values[:, 1:] != values[:, :-1]).any(axis=0))[0] + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            now = tuple(values[:, a].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def least_reachable(n: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The least index that each of n nodes reaches over the links (rows, cols), by repeated minima."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, rows, root[cols])
+        np.minimum.at(new, cols, root[rows])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

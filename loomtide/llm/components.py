@@ -2,38 +2,44 @@
 
 Large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and
 Beyond", 2014) run as grouped minima joined back to the edges. No neighbourhood is gathered
-into one row or task: the minimum is a partially aggregated value, and the join back is an
-equi-join whose hot keys adaptive execution can split. Each round is cut by a checkpoint.
+into one row or task: the minimum is a partially aggregated value, and for the join back the
+edges of a node are dealt to SALTS tasks, each with a copy of the node's minimum. Each round is
+cut by a checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm.common import checkpointed
 
+#: Tasks that share the edges of one node in a join.
+SALTS = 16
 
-def _minimum(directed: DataFrame) -> DataFrame:
-    return directed.groupBy(F.col("a").alias("m_a")).agg(F.min("b").alias("m"))
+
+def _minimum(directed: DataFrame, value: Column) -> DataFrame:
+    """(m_a, m, m_salt): each node's value over its edges, once for each salt."""
+    least = directed.groupBy(F.col("a").alias("m_a")).agg(value.alias("m"))
+    return least.withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _with_minimum(edges: DataFrame, least: DataFrame) -> DataFrame:
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, (F.col("a") == F.col("m_a")) & (F.col("salt") == F.col("m_salt")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour v of u is linked to the least of u's closed neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _minimum(both).select("m_a", F.least("m", "m_a").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("m_a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _minimum(both, F.min(F.least("a", "b")))
+    return _with_minimum(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each smaller neighbour v of u, and u itself, is linked to the least of them. Edges have a > b."""
-    moved = edges.join(_minimum(edges), F.col("a") == F.col("m_a")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(_minimum(edges).select(F.col("m_a").alias("a"), F.col("m").alias("b")))
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h"), F.sum(F.col("b") % 1_000_003).alias("s")).first()
-    return row["n"], row["h"], row["s"]
+    moved = _with_minimum(edges, _minimum(edges, F.min("b"))).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(edges.groupBy("a").agg(F.min("b").alias("b")))
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -45,15 +51,15 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds:
     """
     clean = edges.select(F.greatest(left, right).cast("long").alias("a"), F.least(left, right).cast("long").alias("b")).where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("a") > F.col("b"))).distinct()
     now = checkpointed(clean)
-    before = _state(now)
+    size = now.count()
     for _ in range(max_rounds):
-        if not before[0]:
+        if not size:
             break
+        before, size_before = now, size
         now = checkpointed(_small_star(_large_star(now)).distinct())
-        after = _state(now)
-        if after == before:
+        size = now.count()
+        if size == size_before and now.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        before = after
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -5,7 +5,7 @@ compile_rules takes patterns in a small syntax (literals, escapes, classes, grou
 subset construction over classes of equivalent bytes and minimises it by partition refinement.
 scan runs such an automaton over a whole buffer in one byte pass: the buffer is cut into lanes
 that step together, each from a guessed state, and lanes whose guess was wrong are stepped again
-until they meet the states they already have.
+until they meet the states they already have. longest walks an anchored automaton over one match.
 """
 
 from __future__ import annotations
@@ -177,7 +177,6 @@ class Automaton:
     accepts: tuple[int, ...]
     first_accepting: int
     start: int
-    dead: int
 
     @property
     def n_states(self) -> int:
@@ -188,18 +187,27 @@ class Automaton:
         """The table by rows and the classes as Python objects, which single steps read faster."""
         return self.table.reshape(-1, self.n_classes).tolist(), self.classes.tobytes()
 
-    def longest(self, data: bytes, at: int, step: int = 1, stop: int | None = None) -> int | None:
-        """Where the longest match that begins at data[at] ends, going by step; None without one."""
-        (rows, classes), state = self._plain, self.start
-        found = at if self.accepts[state] else None
-        stop = (len(data) if step > 0 else -1) if stop is None else stop
-        while at != stop:
+    @functools.cached_property
+    def live(self) -> list[int]:
+        """For each state a bit for each rule that it or a state after it accepts."""
+        rows = self.table.reshape(-1, self.n_classes)
+        masks = np.array(self.accepts, dtype=object)
+        while True:
+            more = np.bitwise_or.reduce(masks[rows], axis=1) | masks
+            if (more == masks).all():
+                return masks.tolist()
+            masks = more
+
+    def longest(self, data: bytes, at: int, rule: int = 0) -> int | None:
+        """Where the longest match of a rule that begins at data[at] ends; None without one."""
+        (rows, classes), state, bit, live, accepts = self._plain, self.start, 1 << rule, self.live, self.accepts
+        found = at if accepts[state] & bit else None
+        for at in range(at, len(data)):
             state = rows[state][classes[data[at]]]
-            if state == self.dead:
+            if not live[state] & bit:
                 break
-            at += step
-            if self.accepts[state]:
-                found = at
+            if accepts[state] & bit:
+                found = at + 1
         return found
 
 
@@ -266,8 +274,7 @@ def _minimal(table: np.ndarray, accepts: list[int], classes: np.ndarray, n_class
     new = np.array([[rank[int(part[t])] for t in table[one[p]]] for p in order])
     marks = tuple(accepts[one[p]] for p in order)
     first = next((k for k, a in enumerate(marks) if a), n)
-    dead = next((k for k in range(n) if not marks[k] and (new[k] == k).all()), -1)
-    return Automaton(classes, n_classes, new.astype(np.int32).reshape(-1), marks, first, rank[int(part[0])], dead)
+    return Automaton(classes, n_classes, new.astype(np.int32).reshape(-1), marks, first, rank[int(part[0])])
 
 
 def scan(a: Automaton, data: np.ndarray, lane: int = 2048) -> tuple[np.ndarray, np.ndarray]:

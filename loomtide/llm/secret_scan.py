@@ -1,12 +1,13 @@
 """Secret scans with one automaton for all rules.
 
-Every rule has a head, after which its body begins. The heads, each with the body's first byte,
-are compiled into one minimal automaton that passes over all bytes of a batch of texts once (see
-automaton.scan). Where it accepts, the head's start is found by the reversed head's automaton,
-and the match's end by the rule's own, so only bytes of candidates are seen twice.
+All rules, reversed, are compiled into one minimal automaton that passes once over all bytes of a
+batch of texts, from the last to the first (see automaton.scan): where it accepts, a match of a
+rule begins. Each rule takes its leftmost such place, walks from there to the end of its longest
+match (over the rules' forward automaton), and goes on behind it. So every byte is passed once,
+and only bytes of matches are seen again, once for each rule that they match.
 
-The three base kinds take leftmost non-overlapping matches, also those that are then dropped as
-too short; the further kinds take whatever passes. Offsets are code points, ends exclusive.
+Matches do not overlap within a kind, and those that fail their rule's least length are dropped
+but still take their place. Offsets are code points, ends exclusive.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned each; an empty table
 gives no rows; scan ignores other columns and redacted keeps them.
@@ -29,47 +30,44 @@ from loomtide.llm.common import documents, per_text, slices
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: its head, its body, and the least length of the body or of the whole."""
+    """A kind of secret: its pattern, and the least length of a match, or of what follows the pattern's head."""
 
     kind: str
     head: str
     body: str
-    first: str
-    least_body: int = 1
-    least: int = 1
+    least_body: int = 0
+    least: int = 0
     ignore_case: bool = False
     base: bool = False
 
 
+# hex needs no least length beside its pattern: a shorter run holds no match, so dropping it changes nothing else.
 RULES = (
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]+", "[A-Za-z0-9+/_.=-]", least_body=6, ignore_case=True, base=True),
-    Rule("access", "AKIA", "[A-Z0-9]+", "[A-Z0-9]", least=20, base=True),
-    Rule("hex", "[0-9a-f]{23}", "[0-9a-f]+", "[0-9a-f]", least=24, base=True),
-    Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", "[A-Za-z0-9]", least_body=36),
-    Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", "[A-Za-z0-9-]", least_body=10),
-    Rule("google", "AIza", "[A-Za-z0-9_-]+", "[A-Za-z0-9_-]", least_body=35),
-    Rule("jwt", "eyJ", r"[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[A-Za-z0-9_-]", least=40),
-    Rule("pem", "-----BEGIN ", "[A-Z ]*PRIVATE KEY-----", "[A-Z]"),
-    Rule("url", "[a-z]://[A-Za-z0-9._-]+:", "[A-Za-z0-9._%+!$-]+@[A-Za-z0-9.-]+", "[A-Za-z0-9._%+!$-]", least_body=6),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]+", least_body=6, ignore_case=True, base=True),
+    Rule("access", "AKIA", "[A-Z0-9]+", least=20, base=True),
+    Rule("hex", "", "[0-9a-f]{24,}", base=True),
+    Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", least_body=36),
+    Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", least_body=10),
+    Rule("google", "AIza", "[A-Za-z0-9_-]+", least_body=35),
+    Rule("jwt", "eyJ", r"[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40),
+    Rule("pem", "-----BEGIN ", "[A-Z ]*PRIVATE KEY-----"),
+    Rule("url", "[a-z]://[A-Za-z0-9._-]+:", "[A-Za-z0-9._%+!$-]+@[A-Za-z0-9.-]+", least_body=6),
 )
 BASE = tuple(r.kind for r in RULES if r.base)
 
 
 @dataclass(frozen=True)
 class Compiled:
-    trigger: Automaton
-    heads: tuple[Automaton, ...]  # of the reversed heads
-    bodies: tuple[Automaton, ...]
+    starts: Automaton  # of the reversed rules, beginning anywhere
+    matches: Automaton  # of the rules, from where they begin
+    heads: Automaton  # of their heads alone
 
 
 @functools.lru_cache(maxsize=2)
 def compiled(rules: tuple[Rule, ...] = RULES) -> Compiled:
-    trees = [(parse(r.head, r.ignore_case), parse(r.body), parse(r.first)) for r in rules]
-    return Compiled(
-        compile_rules([("cat", [head, first]) for head, _, first in trees]),
-        tuple(compile_rules([reverse(head)], anchored=True) for head, _, _ in trees),
-        tuple(compile_rules([body], anchored=True) for _, body, _ in trees),
-    )
+    heads = [parse(r.head, r.ignore_case) for r in rules]
+    whole = [("cat", [head, parse(r.body)]) for head, r in zip(heads, rules, strict=True)]
+    return Compiled(compile_rules([reverse(t) for t in whole]), compile_rules(whole, anchored=True), compile_rules(heads, anchored=True))
 
 
 Span = tuple[str, int, int]
@@ -81,35 +79,30 @@ def spans(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[Span]]
     raw = [t.encode() for t in texts]
     data = b"\xff".join(raw)  # a byte that no text holds ends every match
     starts = np.cumsum([0, *(len(b) + 1 for b in raw)])
-    at, states = scan(a.trigger, np.frombuffer(data, dtype=np.uint8))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    done: dict[tuple[int, int], int] = {}
-    for p, state, doc in zip(at.tolist(), states.tolist(), (np.searchsorted(starts, at, side="right") - 1).tolist(), strict=True):
-        mask = a.trigger.accepts[state]
-        for k, rule in enumerate(rules):
-            if not mask >> k & 1:
-                continue
-            before = done.get((doc, k), int(starts[doc]))
-            start = a.heads[k].longest(data, p - 1, -1, before - 1) if p > before else None
-            if start is None:
-                continue  # the head would begin inside the match before
-            start += 1
-            end = a.bodies[k].longest(data, p)
-            if end is None:
-                continue
-            good = end - p >= rule.least_body and end - start >= rule.least
-            if good or rule.base:
-                done[doc, k] = end
-            if good:
-                out[doc].append((start, k, end))
-    found = []
-    for doc, hits in enumerate(out):
-        if not hits:
-            found.append([])
-            continue
-        points = np.concatenate([[0], np.cumsum((np.frombuffer(raw[doc], dtype=np.uint8) & 0xC0) != 0x80)])
+    back, states = scan(a.starts, np.frombuffer(data, dtype=np.uint8)[::-1])
+    at = len(data) - 1 - back[::-1]
+    found: list[list[Span]] = [[] for _ in texts]
+    if not len(at):
+        return found
+    masks = np.array(a.starts.accepts, dtype=np.int64)[states[::-1]]
+    hits: list[tuple[int, int, int]] = []
+    for k, rule in enumerate(rules):
+        own = at[masks >> k & 1 > 0]
+        i, done = 0, 0
+        while (i := int(np.searchsorted(own, done))) < len(own):
+            start = int(own[i])
+            done = a.matches.longest(data, start, k)
+            body = a.heads.longest(data, start, k) if rule.least_body else start
+            if done - body >= rule.least_body and done - start >= rule.least:
+                hits.append((start, k, done))
+    hits.sort()
+    docs = np.searchsorted(starts, [s for s, _, _ in hits], side="right") - 1
+    points: dict[int, np.ndarray] = {}
+    for doc, (start, k, end) in zip(docs.tolist(), hits, strict=True):
+        if doc not in points:
+            points = {doc: np.concatenate([[0], np.cumsum((np.frombuffer(raw[doc], dtype=np.uint8) & 0xC0) != 0x80)])}
         base = int(starts[doc])
-        found.append([(rules[k].kind, int(points[s - base]), int(points[e - base])) for s, k, e in sorted(hits)])
+        found[doc].append((rules[k].kind, int(points[doc][start - base]), int(points[doc][end - base])))
     return found
 
 

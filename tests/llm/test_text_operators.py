@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomtide.llm import automaton, bpe, packing, pii, queries, secret_scan, token_count
@@ -128,6 +130,51 @@ def test_secrets_against_brute_force():
         assert [s for s in got if s[0] in secret_scan.BASE] == found_by(SECRETS, t), t[:90]
 
 
+def further(pattern, least_body=0, least=0):
+    p = re.compile(pattern)
+    return p, lambda m: len(m[0]) >= least and len(m[0]) - len(m[1]) >= least_body
+
+
+ALL_SECRETS = SECRETS | {
+    "github": further("(gh[pousr]_)[A-Za-z0-9]+", 36),
+    "slack": further("(xox[abprs]-)[A-Za-z0-9-]+", 10),
+    "google": further("(AIza)[A-Za-z0-9_-]+", 35),
+    "jwt": further(r"()eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    "pem": further("()-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    "url": further("([a-z]://[A-Za-z0-9._-]+:)[A-Za-z0-9._%+!$-]+@[A-Za-z0-9.-]+", 6),
+}
+MORE_PARTS = [*PARTS, "ghp_", "gho_" + "a1" * 20, "xoxb-", "1234567890", "AIza", "B_-" * 12, "eyJ", "eyJh" * 5, ".", "-----BEGIN ", "RSA PRIVATE KEY-----", "s://bob", ":", "hunter22", "@host"]
+
+
+def test_all_kinds_against_brute_force():
+    made = texts(4000, 7, MORE_PARTS)
+    for t, got in zip(made, secret_scan.spans(made), strict=True):
+        assert got == found_by(ALL_SECRETS, t), t[:90]
+
+
+def test_long_texts_take_linear_time():
+    began = time.perf_counter()
+    for t in ("eyJ" * 333_333, "eyJa." * 200_000, "token=" * 160_000, "a://" * 250_000, "ab" * 500_000):
+        secret_scan.spans([t])
+    assert len(secret_scan.spans(["token=abcdefgh " * 60_000])[0]) == 60_000
+    assert time.perf_counter() - began < 30
+
+
+def hashed(found):
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in found).encode()).hexdigest()
+
+
+def test_secret_query(spark, tmp_path):
+    made = [*texts(300, 8, MORE_PARTS), None, ""]
+    spark.createDataFrame([*enumerate(made), (None, "token=abcdefgh")], "doc_id long, text string").withColumn("n_hex", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(queries.op5_secret_scan(spark, str(tmp_path)))
+    for k, t in [*enumerate(made), (None, "token=abcdefgh")]:
+        base, every = found_by(SECRETS, t or ""), found_by(ALL_SECRETS, t or "")
+        n = [sum(s[0] == kind for s in base) for kind in SECRETS]
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == n and got[k].base_sha256 == hashed(base)
+        assert got[k].spans == ",".join(f"{kind}:{s}:{e}" for kind, s, e in every)
+
+
 def test_further_secrets():
     t = "é ghp_" + "a1B2" * 9 + " xoxb-123456789012 https://bob:hunter22@host.org -----BEGIN RSA PRIVATE KEY----- AIza" + "B" * 35
     kinds = [k for k, _, _ in secret_scan.spans([t])[0]]
@@ -149,7 +196,7 @@ def test_automaton_against_re(pattern):
     rng = random.Random(pattern)
     a = automaton.compile_rules([automaton.parse(pattern)])
     anchored = automaton.compile_rules([automaton.parse(pattern)], anchored=True)
-    backward = automaton.compile_rules([automaton.reverse(automaton.parse(pattern))], anchored=True)
+    backward = automaton.compile_rules([automaton.reverse(automaton.parse(pattern))])
     for _ in range(60):
         t = "".join(rng.choice("abcdxy :=e") for _ in range(rng.randint(0, 70)))
         data = t.encode()
@@ -159,9 +206,13 @@ def test_automaton_against_re(pattern):
         for s in range(len(t)):
             fits = [e for e in range(s, len(t) + 1) if re.fullmatch(pattern, t[s:e])]
             assert anchored.longest(data, s) == (max(fits) if fits else None)
-        for e in range(len(t)):
-            fits = [s for s in range(e + 2) if re.fullmatch(pattern, t[s : e + 1])]
-            assert backward.longest(data, e, -1) == (min(fits) - 1 if fits else None)
+        back, _ = automaton.scan(backward, np.frombuffer(data, dtype=np.uint8)[::-1], lane=8)
+        assert {len(t) - 1 - p for p in back.tolist()} == {s for s in range(len(t)) for e in range(s + 1, len(t) + 1) if re.fullmatch(pattern, t[s:e])}
+
+
+def test_rules_share_one_automaton():
+    a = automaton.compile_rules([automaton.parse(p) for p in ("ab+", "[a-c]{3}")], anchored=True)
+    assert a.longest(b"abbbc", 0, 0) == 4 and a.longest(b"abbbc", 0, 1) == 3 and a.longest(b"bab", 0, 0) is None
 
 
 def luhn(d):

@@ -8,8 +8,10 @@ soft labels train a logistic span classifier over votes, kind and length, which
 candidates of the further kinds. Spans of the four base kinds that pass their check always stay.
 
 Offsets come from splitting a text at the same matches: a match begins after the lengths of all
-gaps and matches before it. Patterns use possessive quantifiers and start only where a run
-starts (or where the match before ended), so long runs take linear time and no stack.
+gaps and matches before it, added up by runs of RUN matches and then within each run. What the
+labelers see around a match comes from the gaps beside it, so the text is never searched from its
+start again. Patterns use possessive quantifiers and start only where a run starts (or where the
+match before ended), so long runs take linear time and no stack.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned each; an empty table
 gives no rows (and an untrained classifier that accepts nothing); other columns are ignored.
@@ -48,8 +50,10 @@ KINDS = (
     Kind("name", r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Madame|Monsieur)\.? \p{Lu}\p{L}++(?: \p{Lu}\p{L}++)?+", r"Mr|Ms|Dr|Prof|Herr|Frau|Señor|Madame|Monsieur", r"dear|regards|name|signed|from|by|contact"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
-#: Characters before a span that the context labeler sees.
+#: Characters before a span, back to the span of its kind before it, that the context labeler sees.
 CONTEXT = 32
+#: Matches whose lengths are added up at once.
+RUN = 64
 # Public prefixes and names that the gazetteer labeler knows.
 TOP_DOMAINS = "com org net edu gov io de fr es it uk eu info biz co us ca au jp cn in br mx nl ch at be se no pl ru example"
 FIRST_NAMES = "Anna Maria John James Mary Robert Michael David Linda Thomas Peter Paul Laura Julia Marie Pierre Jean Claire Hans Klaus Petra Sabine Carlos José Luis Carmen Ana Juan Elena Sofia Daniel Martin Sarah Emma Lucas Hugo Louis Max Felix Lena"
@@ -81,24 +85,44 @@ def passes(kind: Column, match: Column) -> Column:
     return F.when(kind == 1, F.forall(F.split(match, r"\."), part)).when(kind == 2, card).when(kind == 3, F.length(digits).between(10, 15)).otherwise(True)
 
 
-def matches(text: Column, k: int) -> Column:
-    """Array of (start, k, end, match): leftmost non-overlapping matches of kind k, 0-based code points."""
+def _found(text: Column, k: int) -> Column:
     kind = KINDS[k]
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    empty = F.array().cast("array<struct<start:int,k:int,end:int,m:string>>")
+    return F.when(text.rlike(kind.needs), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def _parts(text: Column, found: Column, k: int) -> Column:
+    """Array of the matches of kind k: m, the gaps g before and h behind it, and the matches beside it."""
+    gaps, none, n = F.split(text, KINDS[k].pattern, -1), F.array(F.lit("")), F.size(found)
+    before, behind = F.concat(none, F.slice(found, 1, n - 1)), F.concat(F.slice(found, 2, n), none)
+    parts = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))  # and the gap after the last match
+    more = F.arrays_zip(F.slice(parts, 1, n).alias("p"), F.slice(parts, 2, n).alias("q"), before.alias("last"), behind.alias("next"))
+    return F.when(n > 0, F.transform(more, lambda p: F.struct(p["p"]["m"].alias("m"), p["p"]["g"].alias("g"), p["q"]["g"].alias("h"), p["last"].alias("last"), p["next"].alias("next"))))
+
+
+def _placed(parts: Column, k: int) -> Column:
+    """Array of (start, k, end, m, before, left, right) from _parts': offsets are 0-based code points, before is
+    up to CONTEXT characters of the gap, left and right are the characters beside the match, empty at the text's ends."""
+    length = lambda p: F.length(p["g"]) + F.length(p["m"])
+    runs = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(parts) - 1, F.lit(RUN)).cast("int")), lambda r: F.slice(parts, r * RUN + 1, RUN))
+    sizes = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda n, p: n + length(p)))
+    nothing = F.array().cast("array<int>")
+    begins = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), nothing.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    empty = F.array().cast("array<struct<start:int,k:int,end:int,m:string,before:string,left:string,right:string>>")
+    either = lambda near, far, end: F.when(near == "", end(far, 1)).otherwise(end(near, 1))
+    tail = lambda c, n: F.right(c, F.lit(n))
+    head = lambda c, n: F.left(c, F.lit(n))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["g"])
         end = start + F.length(p["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end"), p["m"].alias("m")))).alias("out"))
+        placed = F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end"), p["m"].alias("m"), tail(p["g"], CONTEXT).alias("before"), either(p["g"], p["last"], tail).alias("left"), either(p["h"], p["next"], head).alias("right"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(placed)).alias("out"))
 
-    listed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(kind.needs), listed).otherwise(empty)
+    listed = F.transform(F.arrays_zip(runs.alias("run"), begins.alias("at")), lambda r: F.aggregate(r["run"], F.struct(r["at"].alias("at"), empty.alias("out")), step)["out"])
+    return F.when(parts.isNull(), empty).otherwise(F.flatten(listed))
 
 
-def _votes(text: Column, c: Column) -> list[Column]:
+def _votes(c: Column) -> list[Column]:
     """Each labeler's vote on candidate c: 1 yes, 0 no, -1 abstains."""
     k, m = c["k"], c["m"]
     digits = _digits(m)
@@ -122,29 +146,29 @@ def _votes(text: Column, c: Column) -> list[Column]:
         .when(k == 7, yes(m.rlike(names), -1))
         .otherwise(-1)
     )
-    from_ = F.greatest(c["start"] - CONTEXT, F.lit(0))
-    before = F.lower(F.substr(text, from_ + 1, c["start"] - from_))
+    before = F.lower(c["before"])
     cue = F.lit(False)
     for i, kind in enumerate(KINDS):
         cue = F.when(k == i, before.rlike(kind.cues)).otherwise(cue)
     context = yes(cue, -1)
-    left, right = F.when(c["start"] > 0, F.substr(text, c["start"], F.lit(1))).otherwise(" "), F.substr(text, c["end"] + 1, F.lit(1))
-    edges = yes(~left.rlike(r"[\p{L}0-9_]") & ~right.rlike(r"[\p{L}0-9_]"))
+    edges = yes(~c["left"].rlike(r"[\p{L}0-9_]") & ~c["right"].rlike(r"[\p{L}0-9_]"))
     return [v.cast("int") for v in (strict, gazetteer, context, edges)]
 
 
 def candidates(df: DataFrame) -> DataFrame:
     """doc_id and found: array of (start, k, end, m, ok, v0..v3, size) for each row of df (doc_id, text)."""
-    docs = documents(df)
-    text = F.col("text")
 
     def judged(c: Column) -> Column:
-        votes = [v.alias(f"v{i}") for i, v in enumerate(_votes(text, c))]
+        votes = [v.alias(f"v{i}") for i, v in enumerate(_votes(c))]
         size = F.least(F.floor(F.length(c["m"]) / 8), F.lit(4)).cast("int").alias("size")
         return F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), c["m"].alias("m"), passes(c["k"], c["m"]).alias("ok"), *votes, size)
 
-    raw = docs.select("doc_id", "text", *(matches(text, k).alias(f"m{k}") for k in range(len(KINDS))))
-    merged = raw.select("doc_id", "text", F.concat(*(f"m{k}" for k in range(len(KINDS)))).alias("all"))
+    kinds = range(len(KINDS))
+    # Each step is a projection of its own, so that no pattern is matched twice.
+    found = documents(df).select("doc_id", "text", *(_found(F.col("text"), k).alias(f"f{k}") for k in kinds))
+    parts = found.select("doc_id", *(_parts(F.col("text"), F.col(f"f{k}"), k).alias(f"p{k}") for k in kinds))
+    placed = parts.select("doc_id", *(_placed(F.col(f"p{k}"), k).alias(f"m{k}") for k in kinds))
+    merged = placed.select("doc_id", F.concat(*(f"m{k}" for k in kinds)).alias("all"))
     short = F.filter("all", lambda c: (c["k"] != 2) | F.length(_digits(c["m"])).between(12, 22))  # plain numbers are no card candidates
     return merged.select("doc_id", F.transform(short, judged).alias("found"))
 

@@ -12,11 +12,15 @@ Segments are built where the rows lie, without a shuffle. Each segment meets eve
 queries by an equi-join on spread keys, so no side is broadcast or gathered, and yields at most
 k rows for each query.
 
-Edge cases: vectors that are null, empty, hold null or non-finite components, or components of
-2**16 or more in size, take no part, nor do rows with a null id; vectors of other lengths than
-the query's aren't compared; rows that share the query's id are its own and left out; repeated
-candidate rows count each; of several vectors under a query's id the least is asked; fewer than
-k candidates give fewer rows; an empty table gives no rows; other columns are ignored.
+Every finite vector takes part. Components of WIDE or more in size don't fit a long after
+quantising; their rows form segments of plain doubles, and they, and products that could pass a
+long, are scored in Python's integers. A score beyond a long is given as the nearest long.
+
+Edge cases: vectors that are null, empty or hold null or non-finite components take no part, nor
+do rows with a null id; vectors of other lengths than the query's aren't compared; rows that share
+the query's id are its own and left out; repeated candidate rows count each; of several vectors
+under a query's id the least is asked; fewer than k candidates give fewer rows; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SCALE, TOP = 256, 5
-LARGEST = 1 << 16
+#: Components below this in size quantise to less than 2**62.
+WIDE = 2.0**54
 SEGMENT, QUERY_BLOCK = 32768, 256
 #: Each segment is sent to so many tasks, which share the query blocks.
 SPREAD = 4
@@ -119,28 +124,47 @@ def select_top(score: list[np.ndarray], among: np.ndarray, k: int) -> np.ndarray
     return np.concatenate([first, _rows(tied)[: k - len(first)]])
 
 
-def _quantised(column: pa.ListArray) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-    return np.floor(SCALE * x.astype(np.float64)).astype(np.int64)
+def quantised(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x) as longs, for components below WIDE."""
+    return np.floor(SCALE * x).astype(np.int64)
 
 
-def _by_length(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dim, ids, quantised values) in runs of up to most rows of one length."""
-    held: dict[int, list] = {}
+def exact(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x) as Python integers, for any finite doubles (large ones are whole numbers)."""
+    flat = [int(np.floor(SCALE * v)) if abs(v) < WIDE else int(v) * SCALE for v in x.reshape(-1).tolist()]
+    out = np.empty(len(flat), dtype=object)
+    out[:] = flat
+    return out.reshape(x.shape)
+
+
+def plain_top(ids: np.ndarray, values: np.ndarray, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """(ids, scores) of the k best rows of Python integers, scores cut to longs."""
+    scores = [max(-(1 << 63), min((1 << 63) - 1, s)) for s in (values @ query).tolist()]
+    best = sorted(zip((-s for s in scores), ids.tolist()))[:k]
+    return [i for _, i in best], [-s for s, _ in best]
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(wide, ids, vectors) in runs of up to most rows of one length, those with wide components apart."""
+    held: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         sizes = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
         for dim in np.unique(sizes).tolist():
             part = batch.filter(pa.array(sizes == dim))
-            ids, values = part.column("vec_id").to_numpy(), _quantised(part.column("vector"))
-            if dim in held:
-                ids, values = np.concatenate([held[dim][0], ids]), np.concatenate([held[dim][1], values])
-            while len(ids) >= most:
-                yield dim, ids[:most], values[:most]
-                ids, values = ids[most:], values[most:]
-            held[dim] = [ids, values]
-    for dim, (ids, values) in held.items():
+            all_ids, x = part.column("vec_id").to_numpy(), part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            large = (np.abs(x) >= WIDE).any(axis=1)
+            for wide in (False, True):
+                ids, values = all_ids[large == wide], x[large == wide]
+                if (dim, wide) in held:
+                    before = held[dim, wide]
+                    ids, values = np.concatenate([before[0], ids]), np.concatenate([before[1], values])
+                while len(ids) >= most:
+                    yield wide, ids[:most], values[:most]
+                    ids, values = ids[most:], values[most:]
+                held[dim, wide] = (ids, values)
+    for (_, wide), (ids, values) in held.items():
         if len(ids):
-            yield dim, ids, values
+            yield wide, ids, values
 
 
 def _number(k: int) -> int:
@@ -148,43 +172,73 @@ def _number(k: int) -> int:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for k, (dim, ids, values) in enumerate(_by_length(batches, SEGMENT)):
+    for k, (wide, ids, x) in enumerate(_by_length(batches, SEGMENT)):
         order = np.argsort(ids, kind="stable")
-        ids, values = ids[order], values[order]
-        low = int(values.min())
-        bits = max(1, int(values.max() - low).bit_length())
-        row = [_number(k), dim, low, bits, ids.astype("<i8").tobytes(), slice_bits(values, low, bits).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SEGMENTS, strict=True)], schema=_SEGMENTS)
+        ids, x = ids[order], x[order]
+        if wide:  # no bits: the rows themselves
+            low, bits, slices = 0, 0, x.astype("<f8").tobytes()
+        else:
+            values = quantised(x)
+            low = int(values.min())
+            bits = max(1, (int(values.max()) - low).bit_length())
+            slices = slice_bits(values, low, bits).tobytes()
+        row = [_number(k), x.shape[1], low, bits, ids.astype("<i8").tobytes(), slices]
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SEGMENTS, strict=True)], schema=_SEGMENTS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for k, (dim, ids, values) in enumerate(_by_length(batches, QUERY_BLOCK)):
-        row = [_number(k), dim, ids.astype("<i8").tobytes(), values.astype("<i4").tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
+    for k, (_, ids, x) in enumerate(_by_length(batches, QUERY_BLOCK)):
+        row = [_number(k), x.shape[1], ids.astype("<i8").tobytes(), x.astype("<f8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+
+class _Segment:
+    """A segment read from its row; best answers one query."""
+
+    def __init__(self, dim: int, low: int, bits: int, ids: np.ndarray, stored: pa.Buffer):
+        self.low, self.bits, self.ids, self._plain = low, bits, ids, None
+        if bits:
+            self.slices = np.frombuffer(stored, dtype=np.uint64).reshape(bits, dim, -1)
+            self.largest = max(abs(low), abs(low + (1 << bits) - 1))
+            self.present = np.packbits(np.arange(self.slices.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
+        else:
+            self.rows = np.frombuffer(stored, dtype="<f8").reshape(-1, dim)
+
+    def plain(self) -> np.ndarray:
+        if self._plain is None:
+            self._plain = row_values(self.slices, self.low, np.arange(len(self.ids))).astype(object) if self.bits else exact(self.rows)
+        return self._plain
+
+    def best(self, query_id: int, x: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+        first, last = np.searchsorted(self.ids, [query_id, query_id + 1])  # the query's own rows
+        query = quantised(x) if (np.abs(x) < WIDE).all() else None
+        if not self.bits or query is None or len(x) * int(np.abs(query).max()) * self.largest >= 1 << 63:
+            others = np.r_[:first, last : len(self.ids)]
+            return plain_top(self.ids[others], self.plain()[others], exact(x), k)
+        among = self.present
+        if last > first:
+            among = among.copy()
+            for own in range(first, last):
+                among[own >> 6] &= ~np.uint64(1 << (own & 63))
+        rows = select_top(score_slices(self.slices, query) if query.any() else [], among, k)
+        return self.ids[rows].tolist(), (row_values(self.slices, self.low, rows) @ query).tolist()
 
 
 def _searched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bytes_of = lambda name: batch.column(name)[at].as_buffer()  # noqa: B023, E731
             for at in range(batch.num_rows):
-                r = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
-                ids = np.frombuffer(r["ids"], dtype="<i8")
-                slices = np.frombuffer(r["slices"], dtype=np.uint64).reshape(r["bits"], r["dim"], -1)
-                present = np.packbits(np.arange(slices.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
-                asked = np.frombuffer(r["q_ids"], dtype="<i8")
-                values = np.frombuffer(r["q_values"], dtype="<i4").astype(np.int64).reshape(len(asked), -1)
+                dim, low, bits = (batch.column(name)[at].as_py() for name in ("dim", "low", "bits"))
+                segment = _Segment(dim, low, bits, np.frombuffer(bytes_of("ids"), dtype="<i8"), bytes_of("slices"))
+                asked = np.frombuffer(bytes_of("q_ids"), dtype="<i8")
+                values = np.frombuffer(bytes_of("q_values"), dtype="<f8").reshape(len(asked), -1)
                 out: list[list] = [[], [], []]
-                for query_id, query in zip(asked.tolist(), values, strict=True):
-                    among = present
-                    first, last = np.searchsorted(ids, [query_id, query_id + 1])
-                    if last > first:
-                        among = present.copy()
-                        for own in range(first, last):
-                            among[own >> 6] &= ~np.uint64(1 << (own & 63))
-                    rows = select_top(score_slices(slices, query) if query.any() else [], among, k)
-                    out[0] += [query_id] * len(rows)
-                    out[1] += ids[rows].tolist()
-                    out[2] += (row_values(slices, r["low"], rows) @ query).tolist()
+                for query_id, x in zip(asked.tolist(), values, strict=True):
+                    ids, scores = segment.best(query_id, x, k)
+                    out[0] += [query_id] * len(ids)
+                    out[1] += ids
+                    out[2] += scores
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_TOP)
 
     return run
@@ -194,8 +248,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec_id",
     """query_id, rank, vec_id, score: each query's k best rows. is_query is over the column vec_id."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST / SCALE)
-    rows = rows.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", fits))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    rows = rows.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", finite))
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ddl = "seg long, dim int, low long, bits int, ids binary, slices binary"
     segments = rows.mapInArrow(_segments, ddl)

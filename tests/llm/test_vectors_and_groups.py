@@ -108,6 +108,22 @@ def test_search_against_brute_force(spark, n, copies):
     assert topk_bitsliced.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("largest", [300.0, 1e6, 1e12, 1e300])
+def test_search_takes_vectors_of_any_size(spark, largest):
+    rng = np.random.default_rng(int(np.log10(largest)))
+    x = rng.standard_normal((230, 6)) * rng.choice([0.5, 3.0, largest], (230, 1))
+    x[:3] = [[300, 1, 0, 0, 0, 0], [-256, 0, 0, 0, 0, 0], [largest] * 6]
+    ids = rng.permutation(230)
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<double>").repartition(3)
+    whole = [[int(np.floor(256 * v)) if abs(v) < 2**50 else int(v) * 256 for v in row] for row in x.tolist()]
+    cut = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for i in np.nonzero(ids % 50 == 0)[0]:
+        scores = sorted((-cut(sum(a * b for a, b in zip(whole[i], whole[j], strict=True))), int(ids[j])) for j in range(230) if j != i)[:5]
+        want += [(int(ids[i]), r + 1, v, -s) for r, (s, v) in enumerate(scores)]
+    assert sorted(tuple(r) for r in topk_bitsliced.top_k(df, F.col("vec_id") % 50 == 0).collect()) == sorted(want)
+
+
 def test_small_segments(spark, monkeypatch):
     for lane, block in ((7, 2), (64, 1000)):
         rng = np.random.default_rng(lane)

@@ -1,11 +1,13 @@
 """Toxicity scores from a factorisation machine over hashed terms.
 
 A document is the set of its terms: words in lower case and their beginnings of four and five
-letters, which carry over to inflected and compounded forms. Terms that a bounded labelled
-sample ties to the label (chi-squared) get a weight and a short factor vector each; a document's
-logit is the sum of its terms' weights plus the inner products of all pairs of factors, so that
-a pair of terms can count for more than both alone. The logit is corrected for the classes'
-shares among all labelled rows.
+letters, which carry over to inflected and compounded forms. Each hashed term that at least
+MIN_DOCS texts of a bounded labelled sample hold has a weight and a short factor vector; a
+document's logit is the sum of its terms' weights plus the inner products of all pairs of factors,
+so that a pair of terms can count for more than both alone, or where neither counts alone. How far
+weights and factors can move under the same penalty follows from the term's chi-squared with the
+label, without a bar: a term that says little alone keeps a small weight, and factors of a tenth
+of the full size. The logit is corrected for the classes' shares among all labelled rows.
 
 Edge cases: a null or empty text has no terms and gets the base rate; repeated rows are scored
 each; a null id counts as held out; without labels of both classes every score is the share of
@@ -26,10 +28,15 @@ from loomtide.llm.common import documents, per_text
 from loomtide.llm.training import MAX_ROWS_PER_CLASS, PIECES, Adam, Coder, bucket, held_out, sample, sigmoid
 
 BUCKETS, RANK, SEED = 1 << 18, 8, 11
-MAX_TERMS, MIN_CHI2, MIN_DOCS = 1024, 15.0, 3
+MIN_DOCS = 3
+#: Chi-squared of a term with half the full size, and the least sizes of a weight and of factors.
+HALF, LEAST_WEIGHT, LEAST_FACTOR = 50.0, 0.01, 0.1
+#: Penalties of weights and factors, and entries of the sample that are summed at once.
+PENALTY_WEIGHT, PENALTY_FACTOR = 1e-4, 1e-3
+ENTRIES = 1 << 18
 #: Chunks remembered while fitting.
 FIT_CACHE = 50_000
-STEPS, THRESHOLD = 300, 0.3
+STEPS, RATE, THRESHOLD = 80, 0.05, 0.3
 FOLDS, FOLD = 4, 2
 
 
@@ -57,41 +64,64 @@ class Model:
         return float(self.bias + self.weights[own].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v * v).sum()))
 
 
-def related(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets by falling chi-squared with the label, at most MAX_TERMS."""
+def related(sets: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that MIN_DOCS sets hold, their size from 0 to 1 by chi-squared with the label)."""
     on, off = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for s, t in zip(sets, y, strict=True):
         (on if t else off)[s] += 1
-    p, q = y.sum(), len(y) - y.sum()
+    kept = np.nonzero(on + off >= MIN_DOCS)[0]
+    on, off, p, q = on[kept], off[kept], y.sum(), len(y) - y.sum()
     n, df = len(y), on + off
     cross = on * (q - off) - off * (p - on)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.where((df >= MIN_DOCS) & (df < n), n * cross**2 / (df * (n - df) * p * q), 0)
-    order = np.argsort(-chi2, kind="stable")[:MAX_TERMS]
-    return order[chi2[order] >= MIN_CHI2]
+    chi2 = n * cross**2 / (df * np.maximum(n - df, 1) * p * q)  # a term of all texts has cross = 0
+    return kept, chi2 / (chi2 + HALF)
+
+
+class Sums:
+    """Sums of rows of a table over runs of an index, ENTRIES at a time."""
+
+    def __init__(self, index: np.ndarray, sizes: np.ndarray):
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.index, self.n, self.parts, at = index, len(sizes), [], 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, side="right")) - 1)
+            own = np.nonzero(sizes[at:to])[0]
+            if len(own):
+                self.parts.append((slice(ends[at], ends[to]), at + own, ends[at + own] - ends[at]))
+            at = to
+
+    def __call__(self, table: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, table.shape[1]), dtype=table.dtype)
+        for entries, rows, begins in self.parts:
+            out[rows] = np.add.reduceat(table[self.index[entries]], begins, axis=0)
+        return out
 
 
 def fit(texts: list[str], y: np.ndarray, share: float, seed: int = SEED) -> Model:
     coder = Coder(terms_of, FIT_CACHE)
     sets = [np.unique(coder(t)) for t in texts]
-    chosen = related(sets, y)
+    kept, size = related(sets, y)
     place = np.full(BUCKETS, -1, dtype=np.int32)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen)), dtype=np.float32)
-    for r, s in enumerate(sets):
-        own = place[s]
-        x[r, own[own >= 0]] = 1
+    place[kept] = np.arange(len(kept))
+    held = [own[own >= 0] for own in (place[s] for s in sets)]
+    lengths = np.array([len(h) for h in held])
+    terms = np.concatenate(held)
+    by_text = Sums(terms, lengths)
+    by_term = Sums(np.repeat(np.arange(len(y), dtype=np.int32), lengths)[np.argsort(terms, kind="stable")], np.bincount(terms, minlength=len(kept)))
+    of_weight, of_factor = (np.maximum(size, least).astype(np.float32)[:, None] for least in (LEAST_WEIGHT, LEAST_FACTOR))
     rng = np.random.default_rng(seed)
-    bias, w, v = np.zeros(1, dtype=np.float32), np.zeros(len(chosen), dtype=np.float32), (rng.standard_normal((len(chosen), RANK)) * 0.05).astype(np.float32)
-    adam = Adam([bias, w, v], 0.05)
+    bias, w, v = np.zeros(1, dtype=np.float32), np.zeros((len(kept), 1), dtype=np.float32), (rng.standard_normal((len(kept), RANK)) * 0.01).astype(np.float32)
+    adam = Adam([bias, w, v], RATE)
     for _ in range(STEPS):
-        xv = x @ v
-        z = bias + x @ w + 0.5 * ((xv**2).sum(axis=1) - (x @ (v * v)).sum(axis=1))
-        d = ((sigmoid(z) - y) / len(y)).astype(np.float32)
-        adam.step([d.sum(keepdims=True), x.T @ d + 1e-4 * w, x.T @ (d[:, None] * xv) - (x.T @ d)[:, None] * v + 1e-3 * v])
+        factors = v * of_factor
+        sums = by_text(np.concatenate([w * of_weight - 0.5 * (factors * factors).sum(axis=1, keepdims=True), factors], axis=1))
+        xv = sums[:, 1:]
+        d = ((sigmoid(bias + sums[:, 0] + 0.5 * (xv**2).sum(axis=1)) - y) / len(y)).astype(np.float32)[:, None]
+        back = by_term(np.concatenate([d, d * xv], axis=1))
+        adam.step([d.sum(keepdims=True)[0], back[:, :1] * of_weight + PENALTY_WEIGHT * w, (back[:, 1:] - back[:, :1] * factors) * of_factor + PENALTY_FACTOR * v])
     drawn, share = (np.clip(s, 1e-3, 1 - 1e-3) for s in (y.mean(), share))
     offset = np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
-    return Model(place, float(bias[0] + offset), w, v)
+    return Model(place, float(bias[0] + offset), (w * of_weight)[:, 0], v * of_factor)
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = MAX_ROWS_PER_CLASS) -> Model | float:

@@ -5,17 +5,19 @@ floor((a . v + b) / W) with Gaussian a, so vectors at cosine 0.98 (distance 0.2)
 bucket with probability 0.22, and at least one of the 32 tables with probability 0.9997; nearer
 vectors with more. Vectors of different labels or lengths never share a bucket.
 
-Exact copies are one vector from the start. Buckets of one vector, nearly all of them, are
-dropped on their keys alone before any vector is moved. A larger bucket is processed in blocks
+Exact copies, found by a 128-bit hash of label and vector, are one node from the start, and nodes
+are numbers: vectors are moved once, and then only for buckets that hold several. Buckets of one
+vector, nearly all of them, are dropped on their keys alone. A larger bucket is processed in blocks
 of about BLOCK vectors: pairs of blocks are separate groups, so a hot bucket is spread over
-tasks. A group checks cosines in double precision, counts each pair in the first table that
-joins it, and emits for each vector its number of new links and the least vector of its local
+tasks. A group checks labels, and cosines in double precision, counts each pair in the first table
+that joins it, and emits for each vector its number of new links and the least node of its local
 component, never the pairs themselves.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label, link with nothing and are components of their own; a row with a null id links with
-nothing either and has a null component; repeated rows are vectors of their own; rows of one id with different vectors count as linked;
-an empty table gives no rows; other columns are ignored.
+nothing either and has a null component; repeated rows are vectors of their own, and so are rows of
+one id with different vectors, which link by their cosine alone; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.common import checkpointed
+from loomtide.llm.common import checkpointed, least_reachable, sorted_groups
 from loomtide.llm.components import components
 
 THRESHOLD = 0.98
 TABLES, K, W, SEED = 32, 18, 2.0, 20240601
 #: Vectors of a bucket that are compared at once.
-BLOCK = 1024
+BLOCK = 512
 
 
 def projections(dim: int, tables: int = TABLES, k: int = K, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def _units(column: pa.ListArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-_SIGNED = pa.schema([("rep", pa.int64()), ("space", pa.int64()), ("copies", pa.int64()), ("vector", pa.list_(pa.float64())), ("sigs", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("node", pa.int64()), ("label", pa.string()), ("copies", pa.int64()), ("vector", pa.list_(pa.float64())), ("sigs", pa.list_(pa.int64()))])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,39 +72,25 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit = _units(part.column("vector"))
             sig = signatures(unit)
             lists = [pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.reshape(-1)) for m in (unit, sig)]
-            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("space"), part.column("copies"), *lists], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("label"), part.column("copies"), *lists], schema=_SIGNED)
 
 
-_LINKED = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-
-
-def _local_roots(n: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Least reachable index of each of n nodes, by repeated minima over the links."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, rows, root[cols])
-        np.minimum.at(new, cols, root[rows])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+_LINKED = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
 def _linked(threshold: float):
     """Sorted groups (bucket, block pair) to links; a group has at most about two blocks of rows."""
 
-    def group(part: pa.Table) -> pa.RecordBatch | None:
-        part = part.sort_by("rep")
+    def alike(part: pa.Table) -> pa.RecordBatch | None:
+        """Links between vectors of one length."""
+        part = part.sort_by("node")
         n = part.num_rows
-        rep = part.column("rep").to_numpy()
-        side = part.column("side").to_numpy()
-        own = part.column("own").to_numpy()[0]
-        copies = part.column("copies").to_numpy()
+        node, side, copies = (part.column(c).to_numpy() for c in ("node", "side", "copies"))
+        label = part.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         x = part.column("vector").combine_chunks().flatten().to_numpy().reshape(n, -1)
         sig = part.column("sigs").combine_chunks().flatten().to_numpy().reshape(n, -1)
         table = int(part.column("t")[0].as_py())
-        if own:
+        if part.column("lo")[0].as_py() == part.column("hi")[0].as_py():
             i, j = np.nonzero(x @ x.T >= threshold)
             keep = i < j
             i, j = i[keep], j[keep]
@@ -110,6 +98,8 @@ def _linked(threshold: float):
             left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
             a, b = np.nonzero(x[left] @ x[right].T >= threshold)
             i, j = left[a], right[b]
+        same = label[i] == label[j]
+        i, j = i[same], j[same]
         if table and len(i):
             seen = np.concatenate([(sig[i[s : s + 65536], :table] == sig[j[s : s + 65536], :table]).any(axis=1) for s in range(0, len(i), 65536)])
             i, j = i[~seen], j[~seen]
@@ -118,57 +108,50 @@ def _linked(threshold: float):
         links = np.zeros(n, dtype=np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
-        root = rep[_local_roots(n, i, j)]
+        root = node[least_reachable(n, i, j)]
         hit = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(root[hit])], schema=_LINKED)
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(root[hit])], schema=_LINKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi")]
-            cuts = np.nonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))[0] + 1
-            edges = [0, *cuts.tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
-                piece = batch.slice(a, b - a)
-                if held and any(held[0].column(c)[0] != piece.column(c)[0] for c in ("key", "lo", "hi")):
-                    if (done := group(pa.Table.from_batches(held))) is not None:
-                        yield done
-                    held = []
-                if b > a:
-                    held.append(piece)
-        if held and (done := group(pa.Table.from_batches(held))) is not None:
-            yield done
+        for part in sorted_groups(batches, ("key", "lo", "hi")):
+            sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in part.column("vector").chunks])
+            for dim in np.unique(sizes):  # one length, but for colliding keys
+                if (done := alike(part.filter(pa.array(sizes == dim)))) is not None:
+                    yield done
 
     return run
 
 
-def linked(reps: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(rep, links, root) over reps (rep, space, vector, copies): new links by table, and local roots."""
-    signed = checkpointed(reps.select("rep", "space", "copies", "vector").mapInArrow(_signed, "rep long, space long, copies long, vector array<double>, sigs array<long>"))
-    keyed = signed.select("rep", F.posexplode("sigs").alias("t", "sig"), "space").select("rep", "t", F.xxhash64("space", "t", "sig").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    many = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    met = keyed.join(shared, "key").select("rep", "t", "key", many.alias("blocks")).select("rep", "t", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("rep", "t", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    full = met.join(signed, "rep").select("key", "lo", "hi", "t", "rep", "side", (F.col("lo") == F.col("hi")).alias("own"), "copies", "vector", "sigs")
-    return full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_linked(threshold), "rep long, links long, root long")
+def linked(nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(node, links, root) over nodes (node, label, vector, copies): new links by table, and local roots."""
+    signed = checkpointed(nodes.select("node", "label", "copies", "vector").mapInArrow(_signed, "node long, label string, copies long, vector array<double>, sigs array<long>"))
+    keyed = signed.select("node", "label", F.size("vector").alias("dim"), F.posexplode("sigs").alias("t", "sig")).select("node", "t", F.xxhash64("label", "dim", "t", "sig").alias("key"))
+    shared = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("shared_key"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = keyed.join(shared, F.col("key") == F.col("shared_key")).select("node", "t", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select(F.col("node").alias("of"), "t", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    full = met.join(signed, F.col("of") == F.col("node")).drop("of")
+    return full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_linked(threshold), "node long, links long, root long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of df."""
-    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), F.col(label_col).cast("string").alias("label"))
+    zero = F.lit(0).cast(df.schema[vector_col].dataType.elementType)  # a zero of either sign is one number
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.when(x == 0, zero).otherwise(x)).alias("vector"), F.col(label_col).cast("string").alias("label"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    rows = rows.select("vec_id", F.when(good, F.col("vector")).alias("vector"), F.when(good, F.col("label")).alias("label"))
-    grouped = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = checkpointed(grouped.withColumn("space", F.xxhash64("label", F.size("vector"))))
-    found = checkpointed(linked(reps, threshold).groupBy("rep", "root").agg(F.sum("links").alias("links")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found, "rep", "root")
-    named = reps.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = named.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, (F.col("vector") == F.col("v")) & (F.col("label") == F.col("l")), "left")
-    component = F.coalesce("component", "vec_id")
+    hashes = [F.when(F.col("good"), F.xxhash64(F.lit(k), "label", "vector")).alias(f"h{k}") for k in range(2)]
+    rows = rows.select("*", good.alias("good")).select("vec_id", F.when(F.col("good"), F.col("label")).alias("label"), F.when(F.col("good"), F.col("vector")).alias("vector"), *hashes, F.monotonically_increasing_id().alias("row"))
+    rows = checkpointed(rows)
+    sets = checkpointed(rows.where("h0 is not null").groupBy("h0", "h1").agg(F.min("vec_id").alias("least"), F.min("row").alias("node"), F.count("*").alias("copies")))
+    vectors = rows.select("row", "label", "vector").join(sets.select("node", "copies"), F.col("row") == F.col("node"))
+    found = checkpointed(linked(vectors, threshold).groupBy("node", "root").agg(F.sum("links").alias("links")))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(found, "node", "root").select(F.col("node").alias("joined"), "component")
+    named = sets.join(counts, "node", "left").join(roots, F.col("node") == F.col("joined"), "left").withColumn("component", F.coalesce("component", "node"))
+    named = checkpointed(named.select("h0", "h1", "least", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    first = named.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))
+    named = checkpointed(named.join(first, F.col("component") == F.col("c")).select(F.col("h0").alias("g0"), F.col("h1").alias("g1"), "n_links", "component_id"))
+    out = rows.select("vec_id", "h0", "h1").join(named, (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1")), "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

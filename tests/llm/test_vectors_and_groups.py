@@ -67,11 +67,28 @@ def test_embedding_links_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (1, a, 0), (2, b, 0), (3, a, 1), (4, [2.0, 0.0, -0.0], 0)]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, EMB)).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 2, 1, False)]
+
+
+def test_colliding_keys_link_nothing():
+    """A group whose rows differ in label or length, as only colliding hashes could bring together."""
+    import pyarrow as pa
+
+    wide, narrow = [1.0, 0.0], [1.0]
+    cols = {"key": [7] * 4, "lo": [0] * 4, "hi": [0] * 4, "t": [0] * 4, "side": [0] * 4, "node": [1, 2, 3, 4], "copies": [1] * 4, "label": ["a", "b", "a", "a"], "vector": [wide, wide, wide, narrow], "sigs": [[5]] * 4}
+    out = list(embedding_dedup._linked(0.98)(iter([pa.RecordBatch.from_pydict(cols)])))
+    assert [r for b in out for r in b.to_pylist()] == [{"node": 1, "links": 1, "root": 1}, {"node": 3, "links": 1, "root": 1}]
+
+
 def test_small_blocks_give_the_same_links(spark):
     x, labels = vectors(1)
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    reps = spark.createDataFrame([(k, 1, 1, v.tolist()) for k, v in enumerate(np.unique(unit, axis=0))], "rep long, space long, copies long, vector array<double>")
-    count = lambda b: {r.rep: r.n for r in embedding_dedup.linked(reps, block=b).groupBy("rep").agg(F.sum("links").alias("n")).collect()}
+    nodes = spark.createDataFrame([(k, "a", 1, v.tolist()) for k, v in enumerate(np.unique(unit, axis=0))], "node long, label string, copies long, vector array<double>")
+    count = lambda b: {r.node: r.n for r in embedding_dedup.linked(nodes, block=b).groupBy("node").agg(F.sum("links").alias("n")).collect()}
     assert count(4) == count(1024)
 
 

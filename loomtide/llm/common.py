@@ -55,6 +55,20 @@ def slices(batch: pa.RecordBatch, max_bytes: int = 16 << 20) -> Iterator[pa.Reco
         yield batch.slice(at, step)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id with different texts apart (null: empty)."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def one_of_each(df: DataFrame, classes: DataFrame) -> DataFrame:
+    """df (doc_id, text and others) with one row of each class: that of least doc_id, one without an
+    id only if all are. classes has doc_id, text_hash and class for each row of df."""
+    first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("row"))
+    first = first.select(F.col("row.doc_id").alias("first_id"), F.col("row.text_hash").alias("first_hash"))
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.col("row_hash") == F.col("first_hash"))
+    return df.withColumn("row_hash", text_hash(F.col("text"))).join(first, met, "left_semi").dropDuplicates(["doc_id", "row_hash"]).drop("row_hash")
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys (numbers without nulls) as tables, from batches that are sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -16,7 +16,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.common import checkpointed, documents, per_text
+from loomtide.llm.common import checkpointed, documents, one_of_each, text_hash
+from loomtide.llm.common import slices as parts_of
 from loomtide.llm.components import components
 
 SHINGLE = 3
@@ -54,46 +55,48 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for each row of df (doc_id, text)."""
+    """doc_id, text_hash (of the text) and fp (the fingerprint as a signed long) for each row of df (doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
-    def make() -> Callable[[list[str]], list]:
-        def work(texts: list[str]) -> list:
-            return [np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts_of(batch):
+                fps = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps)], schema=schema)
 
-        return work
-
-    return per_text(documents(df), make, [("fp", pa.int64())], "fp long")
+    return documents(df).withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b) node pairs, a < b, whose fingerprints differ in at most max_bits (0 to 3) bits.
-
-    nodes has distinct fp (long) and node (long).
-    """
+    """(a, b) pairs of fingerprints, a < b, that differ in at most max_bits (0 to 3) bits. nodes has distinct fp (long)."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with balls of radius 1 cover 0 to 3 bits")
     first = F.shiftrightunsigned("fp", 32)
     second = F.col("fp").bitwiseAND(0xFFFFFFFF) + F.lit(1 << 32)
     ball = lambda seg: F.concat(F.array(seg), *(F.array(seg.bitwiseXOR(F.lit(1 << b))) for b in range(32)))
     probes = F.concat(ball(first) if max_bits >= 2 else F.array(first), ball(second) if max_bits == 3 else F.array(second))
-    table = nodes.select(F.explode(F.array(first, second)).alias("key"), F.col("fp").alias("fp_b"), F.col("node").alias("b"))
-    asked = nodes.select(F.explode(probes).alias("key"), "fp", F.col("node").alias("a"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= max_bits
+    table = nodes.select(F.explode(F.array(first, second)).alias("key"), F.col("fp").alias("b"))
+    asked = nodes.select(F.explode(probes).alias("key"), F.col("fp").alias("a"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     return asked.join(table, (asked["key"] == table["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def classes(df: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id (least doc_id reachable over links) for each row of df."""
+def _classes(df: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """doc_id, text_hash, fp, class (a fingerprint) and component_id for each row of df."""
     marked = checkpointed(fingerprints(df, shingle))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes, max_bits))
-    named = nodes.join(found, "node", "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, marked["fp"] == named["class_fp"]).select("doc_id", "fp", "component_id")
+    named = checkpointed(nodes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "fp").alias("class"), "least"))
+    first = named.groupBy(F.col("class").alias("c")).agg(F.min("least").alias("component_id"))
+    named = checkpointed(named.join(first, F.col("class") == F.col("c")).select("class_fp", "class", "component_id"))
+    return marked.join(named, F.col("fp") == F.col("class_fp")).drop("class_fp")
+
+
+def classes(df: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fp, component_id (least doc_id reachable over links) for each row of df."""
+    return _classes(df, shingle, max_bits).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(df: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """df with one row of each class, that of its least doc_id; rows without an id stay."""
-    found = classes(df, shingle, max_bits)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = df.join(first, F.col("doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(df.where("doc_id is null"))
+    """df (doc_id, text and others) with one row of each class."""
+    return one_of_each(df, _classes(df, shingle, max_bits))

@@ -39,14 +39,18 @@ def merged(piece: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
     return parts
 
 
+def merge_ranks(spec: dict) -> dict[tuple[bytes, bytes], int]:
+    back = {c: b for b, c in byte_letters().items()}
+    as_bytes = lambda s: bytes(back[c] for c in s)
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+    return {(as_bytes(a), as_bytes(b)): k for k, (a, b) in enumerate(pairs)}
+
+
 @functools.lru_cache(maxsize=4)
 def proven_tokens(path: str) -> frozenset[bytes]:
     """The vocabulary strings that, as a pre-token of their own, become exactly one token."""
     spec = load(path)
-    back = {c: b for b, c in byte_letters().items()}
-    as_bytes = lambda s: bytes(back[c] for c in s)
-    pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-    ranks = {(as_bytes(a), as_bytes(b)): k for k, (a, b) in enumerate(pairs)}
+    ranks = merge_ranks(spec)
     return frozenset(t for t in vocabulary_bytes(spec) if len(merged(t, ranks)) == 1)
 
 
@@ -60,7 +64,11 @@ class Counter:
         spec = load(path)
         self.path, self.specials, self._library = path, special_tokens(spec), None
         self._proven, self._words = proven, frozenset(t.decode() for t in proven if t.isascii() or _decodes(t))
-        self._merge = tiktoken.Encoding("rest", pat_str=PATTERN, mergeable_ranks=vocabulary_bytes(spec), special_tokens={})._core_bpe.encode_single_piece
+        vocabulary = vocabulary_bytes(spec)
+        self._merge = tiktoken.Encoding("rest", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens={})._core_bpe.encode_single_piece
+        unproven = [t for t in vocabulary if t not in proven]
+        ranks = merge_ranks(spec) if unproven else {}
+        self._counted = {t: len(merged(t, ranks)) for t in unproven}
         self._split = regex.compile(PATTERN).findall
         self._bytes = {c: b for b, c in byte_letters().items()}
         self._chunks = BoundedCache(self._chunk, cache)
@@ -69,8 +77,11 @@ class Counter:
         parts = split_specials(text, self.specials)
         return sum(1 if isinstance(p, int) else self._plain(p) if is_plain(p) else self._any(p) for p in parts)
 
+    def _rest(self, piece: bytes) -> int:
+        return self._counted.get(piece) or len(self._merge(piece))
+
     def _pre_token(self, s: str) -> int:
-        return 1 if s in self._words else len(self._merge(s.encode()))
+        return 1 if s in self._words else self._rest(s.encode())
 
     def _chunk(self, part: str) -> int:
         """Tokens of a space and part, which holds no space."""
@@ -93,7 +104,7 @@ class Counter:
 
             self._library = Tokenizer.from_file(self.path).pre_tokenizer
         pieces = (bytes(self._bytes[c] for c in s) for s, _ in self._library.pre_tokenize_str(text))
-        return sum(1 if p in self._proven else len(self._merge(p)) for p in pieces)
+        return sum(1 if p in self._proven else self._rest(p) for p in pieces)
 
 
 def _decodes(token: bytes) -> bool:

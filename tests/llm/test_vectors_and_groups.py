@@ -174,10 +174,10 @@ def test_links_against_brute_force(spark):
     centers = [rng.getrandbits(64) for _ in range(12)]
     fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for c in centers for _ in range(25)} | {0, 1, 3, 7, 1 << 63})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp long, node long")
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
     for bits in (0, 1, 2, 3):
         got = {(r.a, r.b) for r in simhash.links(df, bits).collect()}
-        assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= bits}
+        assert got == {(min(a, b), max(a, b)) for i, a in enumerate(signed) for j, b in enumerate(signed) if i < j and (fps[i] ^ fps[j]).bit_count() <= bits}
 
 
 def test_classes(spark):
@@ -193,5 +193,22 @@ def test_classes(spark):
     assert all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
     assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted([str(want[2]), "None"])
     kept = simhash.deduplicated(df).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(want)) and sum(r.doc_id is None for r in kept) == 2
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(want)) and sum(r.doc_id is None for r in kept) == 1
     assert simhash.classes(df.limit(0)).count() == 0
+
+
+def bridged(monkeypatch, spark, rows, bits):
+    """classes of rows (doc_id, fingerprint), with fingerprints in place of texts."""
+    frame = spark.createDataFrame([(d, 0, f) for d, f in rows], "doc_id long, text_hash long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, shingle: frame)
+    return sorted(tuple(r) for r in simhash.classes(None, max_bits=bits).select("component_id", "fp").collect())
+
+
+def test_rows_without_an_id_link(spark, monkeypatch):
+    got = bridged(monkeypatch, spark, [(5, 0b1), (None, 0b111), (4, 0b11111), (7, 0b111 << 40)], 2)
+    assert got == [(4, 0b1), (4, 0b111), (4, 0b11111), (7, 0b111 << 40)]
+
+
+def test_a_hot_fingerprint_is_one_node(spark, monkeypatch):
+    got = bridged(monkeypatch, spark, [*((k, 0b11) for k in range(3, 3000)), (2, 0b1), (9000, 0b111 << 33)], 2)
+    assert {c for c, _ in got} == {2, 9000} and sum(c == 2 for c, _ in got) == 2998

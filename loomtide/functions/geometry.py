@@ -53,9 +53,9 @@ class Quat(NamedTuple):
     def scaled(self, factor: Column) -> Quat:
         return Quat(*(c * factor for c in self))
 
-    def normalized(self) -> Quat:
-        """Of length one; a zero quaternion becomes the identity."""
-        norm = F.sqrt(self.dot(self))
+    def normalized(self, norm: Column | None = None) -> Quat:
+        """Of length one (norm is its length, if known); a zero quaternion becomes the identity."""
+        norm = F.sqrt(self.dot(self)) if norm is None else norm
         return Quat(*(F.when(norm > 0, c / norm).otherwise(F.lit(1.0 if n == "w" else 0.0)) for n, c in zip("xyzw", self, strict=True)))
 
     def rotate(self, v: Vec) -> Vec:

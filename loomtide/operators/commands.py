@@ -44,7 +44,7 @@ def constant_command(template: DataFrame, state: DataFrame, spec: CommandSpec) -
     """The template's rows with one trajectory point each, at the state's values in its first row."""
     by = keys_of(template)
     first = state.groupBy(*by).agg(F.min_by(spec.field, TIMESTAMP).alias("__first"))
-    joined = template.join(first, by) if by else template.crossJoin(F.broadcast(first))
+    joined = template.join(first, by) if by else template.crossJoin(first)
     lost = F.raise_error(F.lit(f"{spec.state} has too few values in {spec.field}"))
     value = lambda k: F.coalesce(F.try_element_at("__first", F.lit(k + 1)), lost)
     zero = F.struct(F.lit(0).alias("sec"), F.lit(0).cast("long").alias("nanosec"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from loomtide.functions.fieldpath import field
 from loomtide.model import SYNCED, TransformError, seconds_to_ns
+from loomtide.operators import ordinals
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ def in_segment(start_s: Column, end_s: Column, time: Column | None = None) -> Co
 
 def overlapping(segments: DataFrame, ranges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Segments that meet their recording's synced range (by, first_ns, last_ns); seconds are rounded."""
-    both = segments.join(ranges, list(by)) if by else segments.crossJoin(F.broadcast(ranges))
+    both = segments.join(ranges, list(by)) if by else segments.crossJoin(ranges)
     start, end = seconds_to_ns(F.col("start_s")), seconds_to_ns(F.col("end_s"))
     return both.where((end >= F.col("first_ns")) & (start <= F.col("last_ns"))).select(*segments.columns)
 
@@ -70,8 +71,8 @@ def assembled(parts: Mapping[str, DataFrame], segments: DataFrame, by: Sequence[
     keys = [*by, SYNCED]
     joined = reduce(lambda a, b: a.join(b, keys), parts.values())
     limits = segments.select(*by, *(c for c in segments.columns if c not in by))
-    both = joined.join(limits, list(by)) if by else joined.crossJoin(F.broadcast(limits))
-    return both.where(in_segment(F.col("start_s"), F.col("end_s")))
+    inside = in_segment(F.col("start_s"), F.col("end_s"))
+    return joined.join(limits, list(by)).where(inside) if by else joined.join(limits, inside)
 
 
 def length_check(df: DataFrame, features: Sequence[Feature]) -> list[str]:
@@ -93,9 +94,8 @@ def axes(df: DataFrame, by: Sequence[str], order: Sequence[str], spacing_s: floa
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], episode_order: Sequence[str], spacing_s: float) -> DataFrame:
     """Axes over many episodes: episode_index by episode_order, index running on across episodes."""
     sizes = df.groupBy(*by).agg(F.count("*").alias("__length"), *(F.min(c).alias(f"__o_{c}") for c in episode_order if c not in by))
-    w = Window.orderBy(*(c if c in by else f"__o_{c}" for c in episode_order))
-    placed = sizes.select(*by, (F.row_number().over(w) - 1).alias("__episode"), F.coalesce(F.sum("__length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
-    joined = df.join(placed, list(by))
+    placed = ordinals.numbered(sizes, [c if c in by else f"__o_{c}" for c in episode_order], "__episode", "__length", "__offset")
+    joined = df.join(placed.select(*by, "__episode", "__offset"), list(by))
     return axes(joined, by, order, spacing_s, F.col("__offset"), F.col("__episode")).drop("__episode", "__offset")
 
 
@@ -111,7 +111,7 @@ def annotated(df: DataFrame, by: Sequence[str], order: Sequence[str], task: Colu
 def frame_spacing(times: DataFrame, by: Sequence[str] = (), time: str = SYNCED) -> DataFrame:
     """(by, spacing_s, fps): between the first two distinct times; fps is at least 1."""
     firsts = times.groupBy(*by).agg(F.min(time).alias("__a"))
-    later = times.join(firsts, list(by)) if by else times.crossJoin(F.broadcast(firsts))
+    later = times.join(firsts, list(by)) if by else times.crossJoin(firsts)
     second = later.where(F.col(time) > F.col("__a")).groupBy(*by, "__a").agg(F.min(time).alias("__b"))
     spacing = (F.col("__b") - F.col("__a")) / F.lit(1e9)
     return second.select(*by, spacing.alias("spacing_s"), F.greatest(F.round(1 / spacing), F.lit(1.0)).cast("long").alias("fps"))

@@ -7,18 +7,18 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomtide.model import TransformError
+from loomtide.operators.ordinals import numbered
 
 
 def global_tasks(tasks: DataFrame, source: str = "source", index: str = "task_index", task: str = "task") -> DataFrame:
     """(task, global_task_index): labels numbered by where they are first seen, by source and index.
 
-    Labels are aggregated first; the one sorted window runs over distinct labels alone.
+    Labels are aggregated first, then numbered by ranges.
     """
     first = tasks.groupBy(task).agg(F.min(F.struct(source, index)).alias("__first"))
-    return first.select(task, (F.row_number().over(Window.orderBy("__first")) - 1).cast("long").alias("global_task_index"))
+    return numbered(first, ["__first"], "global_task_index").select(task, "global_task_index")
 
 
 def task_map(tasks: DataFrame, source: str = "source", index: str = "task_index", task: str = "task") -> DataFrame:
@@ -36,21 +36,8 @@ def remapped(df: DataFrame, mapping: DataFrame, columns: Sequence[str], source:
 
 
 def renumbered(episodes: DataFrame, order: Sequence[str] = ("source", "episode_index"), length: str = "length") -> DataFrame:
-    """episodes with new_episode_index and frame_offset, running on over the order.
-
-    One row an episode: the global window runs over those alone.
-    """
-    w = Window.orderBy(*order)
-    offset = F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return episodes.withColumn("new_episode_index", (F.row_number().over(w) - 1).cast("long")).withColumn("frame_offset", offset)
-
-
-def merged_frames(frames: DataFrame, episodes: DataFrame, mapping: DataFrame, task_columns: Sequence[str] = ("task_index", "short_horizon_task_index", "primitive_action_index")) -> DataFrame:
-    """Frames of all sources with global episode, frame and task numbers."""
-    placed = renumbered(episodes).select("source", "episode_index", "new_episode_index", "frame_offset")
-    here = frames.join(placed, ["source", "episode_index"])
-    here = here.withColumn("index", F.col("frame_index") + F.col("frame_offset")).withColumn("episode_index", F.col("new_episode_index")).drop("new_episode_index", "frame_offset")
-    return remapped(here, mapping, [c for c in task_columns if c in frames.columns])
+    """episodes (one row each) with new_episode_index and frame_offset, running on over the order."""
+    return numbered(episodes, order, "new_episode_index", length, "frame_offset")
 
 
 def totals(episodes: DataFrame, tasks: DataFrame, n_videos: int, chunk: int = 1000, length: str = "length") -> DataFrame:

@@ -1,7 +1,8 @@
 """Timing quality of topics, segments and episodes, and tie-aware percentile ranks.
 
-Intervals are differences to the row before within a window of time. A topic's figures are one
-aggregate over them, after a single exchange on (recording, topic).
+Intervals are differences to the row before within a window of time, taken by time buckets, so
+that no task sorts a whole topic. A topic's figures are one partially aggregated pass over them;
+its median comes from counts of distinct intervals.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtide.model import NS, TIMESTAMP, TransformError, seconds_to_ns
+from loomtide.operators.asof import BUCKET_NS, bucket_of
 
 MS = 1_000_000.0
 TIMING = ("message_count", "first_message_timestamp_ns", "last_message_timestamp_ns", "observed_topic_span_s", "episode_coverage_ratio", "observed_hz", "median_topic_interval_ms", "topic_interval_cv", "max_topic_interval_ms", "max_interval_over_median")
@@ -24,32 +26,53 @@ def sliced(df: DataFrame, start: Column, end: Column, time: str = TIMESTAMP) ->
     return df.where(F.when(end < start, wrong).otherwise(F.col(time).between(start, end)))
 
 
-def intervals_ms(df: DataFrame, by: Sequence[str], time: str = TIMESTAMP, name: str = "interval_ms") -> DataFrame:
-    before = F.lag(time).over(Window.partitionBy(*by).orderBy(time))
-    return df.withColumn(name, (F.col(time) - before) / F.lit(MS))
+def intervals_ms(df: DataFrame, by: Sequence[str], time: str = TIMESTAMP, name: str = "interval_ms", bucket_ns: int = BUCKET_NS) -> DataFrame:
+    """df with the milliseconds since the row before in its group; null in the first row, and where time is null.
 
-
-def _timing(time: str, start: Column, end: Column) -> list[Column]:
-    """Aggregates over rows with interval_ms; start and end are aggregates over the group, too."""
+    A bucket's first row needs the last time of the nearest earlier bucket. Those times, one for
+    each bucket, are unioned in as rows that stand before all others of their bucket.
+    """
+    held = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
+    rows = df.select(*by, F.col(time).cast("long").alias("__t"), held).withColumn("__bucket", bucket_of(F.col("__t"), bucket_ns))
+    last = rows.where("__t is not null").groupBy(*by, "__bucket").agg(F.max("__t").alias("__last"))
+    carried = last.select(*by, "__bucket", F.lag("__last").over(Window.partitionBy(*by).orderBy("__bucket")).alias("__t")).where("__t is not null")
+    both = rows.withColumn("__own", F.lit(1)).unionByName(carried.withColumn("__own", F.lit(0)).withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)))
+    before = F.lag("__t").over(Window.partitionBy(*by, "__bucket").orderBy("__t", "__own"))
+    return both.withColumn(name, (F.col("__t") - before) / F.lit(MS)).where("__own = 1").select("__row.*", name)
+
+
+def _medians(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """(keys, name): each group's median of value, the mean of the middle two of an even number."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__ties"))
+    w = Window.partitionBy(*keys)
+    seen = counts.select(*keys, value, F.sum("__ties").over(w.orderBy(value)).alias("__upto"), F.sum("__ties").over(w).alias("__n"))
+    at = lambda place: F.min(F.when(F.col("__upto") > place, F.col(value)))
+    middle = (F.col("__n") - 1) / 2
+    return seen.groupBy(*keys).agg(((at(F.floor(middle)) + at(F.ceil(middle))) / 2).alias(name))
+
+
+def _timing(inside: DataFrame, keys: Sequence[str], time: str, bucket_ns: int) -> DataFrame:
+    """(keys, *TIMING) of rows with start_ns and end_ns of their window."""
+    rows = intervals_ms(inside, keys, time, bucket_ns=bucket_ns)
     first, last, n = F.min(time), F.max(time), F.count(time)
     span = last - first
-    i = F.col("interval_ms")
-    median, mean = F.percentile(i, F.lit(0.5)), F.avg(i)
-    return [
+    i, mean = F.col("interval_ms"), F.avg("interval_ms")
+    found = rows.groupBy(*keys).agg(
         n.alias("message_count"),
         first.alias("first_message_timestamp_ns"),
         last.alias("last_message_timestamp_ns"),
         F.coalesce(span / F.lit(float(NS)), F.lit(0.0)).alias("observed_topic_span_s"),
-        F.coalesce(F.least(span / (end - start), F.lit(1.0)), F.lit(0.0)).alias("episode_coverage_ratio"),
+        F.coalesce(F.least(span / (F.max("end_ns") - F.max("start_ns")), F.lit(1.0)), F.lit(0.0)).alias("episode_coverage_ratio"),
         F.when(span > 0, (n - 1) / (span / F.lit(float(NS)))).alias("observed_hz"),
-        median.alias("median_topic_interval_ms"),
         F.when(mean > 0, F.stddev_pop(i) / mean).alias("topic_interval_cv"),
         F.max(i).alias("max_topic_interval_ms"),
-        F.when(median > 0, F.max(i) / median).alias("max_interval_over_median"),
-    ]
+    )
+    median = F.col("median_topic_interval_ms")
+    out = found.join(_medians(rows, keys, "interval_ms", "median_topic_interval_ms"), list(keys), "left")
+    return out.withColumn("max_interval_over_median", F.when(median > 0, F.col("max_topic_interval_ms") / median)).select(*keys, *TIMING)
 
 
-def topic_metrics(long: DataFrame, windows: DataFrame, by: Sequence[str], required: Sequence[str] = (), topic: str = "topic", time: str = TIMESTAMP) -> DataFrame:
+def topic_metrics(long: DataFrame, windows: DataFrame, by: Sequence[str], required: Sequence[str] = (), topic: str = "topic", time: str = TIMESTAMP, bucket_ns: int = BUCKET_NS) -> DataFrame:
     """Timing figures of each topic within its recording's window (by, start_ns, end_ns).
 
     Topics that the windows don't reach, and required ones that don't exist, have a count of 0,
@@ -62,14 +85,14 @@ def topic_metrics(long: DataFrame, windows: DataFrame, by: Sequence[str], requir
     limits = windows.select(*by, "start_ns", "end_ns")
     bad = F.raise_error(F.lit("a window must end after it starts"))
     limits = limits.withColumn("end_ns", F.when(F.col("end_ns") <= F.col("start_ns"), bad).otherwise(F.col("end_ns")))
-    inside = (long.join(F.broadcast(limits), list(by)) if by else long.crossJoin(F.broadcast(limits))).where(F.col(time).between(F.col("start_ns"), F.col("end_ns")))
-    found = intervals_ms(inside, [*by, topic], time).groupBy(*by, topic).agg(*_timing(time, F.max("start_ns"), F.max("end_ns")))
-    out = topics.join(found, [*by, topic], "left")
+    slim = long.select(*by, topic, time)
+    inside = (slim.join(limits, list(by)) if by else slim.crossJoin(limits)).where(F.col(time).between(F.col("start_ns"), F.col("end_ns")))
+    out = topics.join(_timing(inside, [*by, topic], time, bucket_ns), [*by, topic], "left")
     out = out.fillna({"message_count": 0, "observed_topic_span_s": 0.0, "episode_coverage_ratio": 0.0})
     return out.withColumn("is_required_topic", F.col(topic).isin(*required) if required else F.lit(False))
 
 
-def segment_metrics(long: DataFrame, segments: DataFrame, by: Sequence[str], required: Sequence[str], topic: str = "topic", time: str = TIMESTAMP) -> DataFrame:
+def segment_metrics(long: DataFrame, segments: DataFrame, by: Sequence[str], required: Sequence[str], topic: str = "topic", time: str = TIMESTAMP, bucket_ns: int = BUCKET_NS) -> DataFrame:
     """Each segment's worst figures over the required topics.
 
     segments has by, segment_index, segment_label, segment_success, start_s, end_s. Seconds are
@@ -84,7 +107,7 @@ def segment_metrics(long: DataFrame, segments: DataFrame, by: Sequence[str], req
     asked = s.select(*keys, "start_ns", "end_ns", F.explode(F.array(*map(F.lit, required))).alias(topic))
     mine = long.where(F.col(topic).isin(*required)).select(*by, topic, time)
     inside = mine.join(asked, [*by, topic]).where(F.col(time).between(F.col("start_ns"), F.col("end_ns")))
-    timing = intervals_ms(inside, [*keys, topic], time).groupBy(*keys, topic).agg(*_timing(time, F.max("start_ns"), F.max("end_ns")))
+    timing = _timing(inside, [*keys, topic], time, bucket_ns)
     each = asked.select(*keys, topic).join(timing, [*keys, topic], "left")
     worst = each.groupBy(*keys).agg(
         F.bool_and(F.coalesce(F.col("message_count"), F.lit(0)) > 0).alias("has_all_required_topics"),
@@ -117,7 +140,7 @@ def episode_metrics(topics: DataFrame, episodes: DataFrame, by: Sequence[str], n
     backwards = F.raise_error(F.lit("an episode must not end before it starts"))
     duration = F.when(F.col("end_s") < F.col("start_s"), backwards).otherwise(F.col("end_s") - F.col("start_s"))
     cover = F.when(F.col("__want") == 0, None).when(F.col("__have") < F.col("__want"), F.lit(0.0)).otherwise(F.col("__cover"))
-    joined = episodes.join(agg, list(by)) if by else episodes.crossJoin(F.broadcast(agg))
+    joined = episodes.join(agg, list(by)) if by else episodes.crossJoin(agg)
     return joined.select(
         *by, "episode_label", F.coalesce("episode_success", F.lit(False)).alias("episode_success"), duration.alias("episode_duration_s"),
         ((F.col("__have") >= F.col("__want")) & F.col("__all")).alias("has_all_required_topics"), cover.alias("minimum_required_episode_coverage_ratio"),

@@ -37,13 +37,14 @@ def shifted(df: DataFrame, steps: int, fill: str = "edge", by: Sequence[str] | N
     w = Window.partitionBy(*by).orderBy(*order)
     ahead = lambda c: F.lead(c, steps).over(w) if steps > 0 else F.lag(c, -steps).over(w)
     out = df.withColumns({f"__s_{c}": ahead(F.col(f"`{c}`")) for c in moved})
-    back, forth = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def filled(c: str) -> Column:
         s = F.col(f"`__s_{c}`")
         if fill == "zero" and isinstance(df.schema[c].dataType, T.NumericType):
             return F.coalesce(s, F.lit(0).cast(df.schema[c].dataType))
-        return F.coalesce(F.last(s, ignorenulls=True).over(back), F.first(s, ignorenulls=True).over(forth))
+        # Without a value at or before a row, the first one after it is the first of all.
+        return F.coalesce(F.last(s, ignorenulls=True).over(back), F.first(s, ignorenulls=True).over(whole))
 
     return out.select(*(filled(c).alias(c) if c in moved else F.col(f"`{c}`") for c in df.columns))
 

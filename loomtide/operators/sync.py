@@ -126,7 +126,7 @@ def merge_timestamps(tables: Mapping[str, DataFrame], seq: Sequence[str] = (), s
     """Each topic held onto all timestamps of all topics within the bounds; repeated ones stay, and there is no is_fresh."""
     times, by = _long_times(tables)
     limits = timeline_bounds(tables, strict)
-    here = times.crossJoin(F.broadcast(limits)) if not by else times.join(limits, by)
+    here = times.crossJoin(limits) if not by else times.join(limits, by)
     points = here.where(F.col(TIMESTAMP).between(F.col("start_ns"), F.col("end_ns"))).select(*by, F.col(TIMESTAMP).alias(SYNCED))
     return {t: _spread(asof(points, df, by, SYNCED, TIMESTAMP, [c for c in seq if c in df.columns]).withColumnRenamed("backward", "row"), df, by, False) for t, df in tables.items()}
 
@@ -134,7 +134,7 @@ def merge_timestamps(tables: Mapping[str, DataFrame], seq: Sequence[str] = (), s
 def excluded_rows(long: DataFrame, by: Sequence[str], topic: str = "topic", time: str = TIMESTAMP) -> DataFrame:
     """Rows outside their recording's bounds."""
     limits = bounds(long, by, topic, time)
-    joined = long.join(limits, list(by)) if by else long.crossJoin(F.broadcast(limits))
+    joined = long.join(limits, list(by)) if by else long.crossJoin(limits)
     return joined.where(~F.col(time).between(F.col("start_ns"), F.col("end_ns"))).drop("start_ns", "end_ns")
 
 

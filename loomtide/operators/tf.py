@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.functions.geometry import identity, pose
+from loomtide.functions.geometry import Pose, Quat, Vec, identity, pose
 from loomtide.model import FRESH, PUBLISHED, SYNCED, TIMESTAMP, EnrichError, Recording, keys_of
 from loomtide.operators.asof import BUCKET_NS, asof
 
@@ -39,23 +39,25 @@ def buffer(tf: DataFrame, tf_static: DataFrame | None = None, by: Sequence[str]
     expected = frames.groupBy(*by).agg(F.count("*").alias("__expected"))
     times = rows.select(*by, TIMESTAMP).distinct()
     # Times meet frames within their recording; frames are as few as a robot has links.
-    grid = times.join(frames, by) if by else times.crossJoin(F.broadcast(frames))
+    grid = times.join(frames, by) if by else times.crossJoin(frames)
     latest = asof(grid, rows, [*by, "child_frame_id"], TIMESTAMP, TIMESTAMP, (), ("backward",), bucket_ns)
     known = latest.where(F.col("backward.header").isNotNull())
     entry = F.struct("child_frame_id", F.col("backward.header").alias("header"), F.col("backward.transform").alias("transform"), (F.col(f"backward.{TIMESTAMP}") == F.col(TIMESTAMP)).alias(FRESH))
     grouped = known.groupBy(*by, TIMESTAMP).agg(F.sort_array(F.collect_list(entry)).alias("transforms"), F.count_distinct("child_frame_id").alias("__n"))
-    complete = grouped.join(expected, by) if by else grouped.crossJoin(F.broadcast(expected))
+    complete = grouped.join(expected, by) if by else grouped.crossJoin(expected)
     out = complete.where("__n = __expected").drop("__n", "__expected")
     extra = [c for c in tf.columns if c not in (*by, TIMESTAMP, PUBLISHED, SYNCED, "transforms")]
     if extra:
         first = tf.groupBy(*by).agg(F.min_by(F.struct(*extra), TIMESTAMP).alias("__first"))
-        out = (out.join(first, by) if by else out.crossJoin(F.broadcast(first))).select(*out.columns, "__first.*")
+        out = (out.join(first, by) if by else out.crossJoin(first)).select(*out.columns, "__first.*")
     return out
 
 
 def edges_of(df: DataFrame) -> list[Edge]:
     """Distinct (parent, child) edges of a buffer's transforms: as many as frames."""
-    rows = df.select(F.explode("transforms").alias("t")).select(F.col("t.header.frame_id").alias("p"), F.col("t.child_frame_id").alias("c")).distinct().collect()
+    # Rows mostly repeat one list of frames, so lists are told apart before they are taken to pieces.
+    lists = df.select(F.col("transforms.header.frame_id").alias("p"), F.col("transforms.child_frame_id").alias("c")).distinct()
+    rows = lists.select(F.explode(F.arrays_zip("p", "c")).alias("e")).select("e.p", "e.c").distinct().collect()
     return sorted((r["p"], r["c"]) for r in rows)
 
 
@@ -96,29 +98,34 @@ def chain_path(source: str, target: str, up: Mapping[str, str]) -> tuple[list[st
     return down(above_source), down(above_target)
 
 
-def relative(df: DataFrame, down_source: Sequence[str], down_target: Sequence[str], name: str) -> DataFrame:
-    """df with the pose of target seen from source, from pose columns below their common ancestor.
+def bound(df: DataFrame, name: str, value: Pose) -> tuple[DataFrame, Pose]:
+    """df with a column for each number of a pose, and the pose over those columns.
 
-    Each product is a projection of its own, so that expressions don't grow with the chain.
+    Numbers rather than a struct: the optimizer would replace fields of a struct by the expressions
+    that it is made of, and compute them again at each use.
     """
+    parts = {f"{name}_t{n}": c for n, c in zip("xyz", value.translation, strict=True)} | {f"{name}_r{n}": c for n, c in zip("xyzw", value.rotation, strict=True)}
+    here = [F.col(c) for c in parts]
+    return df.withColumns(parts), Pose(Vec(*here[:3]), Quat(*here[3:]))
+
 
-    def product(parts: Sequence[str], out: str) -> None:
-        nonlocal df
-        df = df.withColumn(out, F.col(parts[0]))
-        for part in parts[1:]:
-            df = df.withColumn(out, pose(F.col(out), False).times(pose(F.col(part), False)).struct())
-
-    left, right = f"{name}_l", f"{name}_r"
-    if down_source:
-        product(down_source, left)
-        df = df.withColumn(left, pose(F.col(left), False).inverse().struct())
-    if down_target:
-        product(down_target, right)
-    if down_source and down_target:
-        value = pose(F.col(left), False).times(pose(F.col(right), False)).struct()
-    else:
-        value = F.col(left) if down_source else F.col(right) if down_target else identity().struct()
-    return df.withColumn(name, value).drop(left, right)
+def relative(df: DataFrame, down_source: Sequence[Pose], down_target: Sequence[Pose], name: str) -> tuple[DataFrame, Pose]:
+    """df with the pose of target seen from source, from the poses below their common ancestor.
+
+    Each product is a projection of its own, so that expressions don't grow with the chain.
+    """
+    sides: list[Pose] = []
+    for side, parts in (("l", down_source), ("r", down_target)):
+        if not parts:
+            continue
+        whole = parts[0]
+        for k, part in enumerate(parts[1:]):
+            df, whole = bound(df, f"{name}_{side}{k}", whole.times(part))
+        sides.append(whole.inverse() if side == "l" else whole)
+    if len(sides) == 2:
+        df, back = bound(df, f"{name}_i", sides[0])
+        sides = [back.times(sides[1])]
+    return bound(df, name, sides[0] if sides else identity())
 
 
 def chain(df: DataFrame, pairs: Sequence[tuple[str, str]], edges: Sequence[Edge] | None = None) -> DataFrame:
@@ -134,26 +141,30 @@ def chain(df: DataFrame, pairs: Sequence[tuple[str, str]], edges: Sequence[Edge]
     used = sorted({c for a, b in paths.values() for c in (*a, *b)})
     by = keys_of(df)
     times = [c for c in (SYNCED, TIMESTAMP) if c in df.columns]
-    mine = F.filter("transforms", lambda t: t["child_frame_id"].isin(*used)) if used else F.col("transforms")
-    once = df.select(*by, *times, mine.alias("__t"))
+    out = df.select(*by, *times, F.col("transforms").alias("__t"), F.col("transforms.child_frame_id").alias("__c"))
 
     def edge(child: str) -> Column:
+        at = F.array_position("__c", child).cast("int")
         found = F.filter("__t", lambda t: t["child_frame_id"] == child)
-        lost = F.raise_error(F.lit(f"no transform of frame {child!r} in a row"))
         parents_here = F.size(F.array_distinct(F.transform(found, lambda t: t["header"]["frame_id"])))
+        lost = F.raise_error(F.lit(f"no transform of frame {child!r} in a row"))
         many = F.raise_error(F.lit(f"several parents of frame {child!r} in a row"))
-        return F.when(F.size(found) == 0, lost).when(parents_here > 1, many).otherwise(F.get(found, F.lit(0)))
+        repeated = F.size("__c") - F.size(F.array_remove("__c", child)) > 1
+        return F.when(F.coalesce(at, F.lit(0)) == 0, lost).when(F.when(repeated, parents_here > 1).otherwise(False), many).otherwise(F.get("__t", at - 1))
 
-    # One struct column for each edge keeps the pairs' expressions small.
-    edged = once.select(*by, *times, *(edge(c).alias(f"__e{k}") for k, c in enumerate(used)))
     at = {c: k for k, c in enumerate(used)}
-    out = edged.withColumns({f"__n{k}": pose(F.col(f"__e{k}.transform")).struct() for k in at.values()})
+    out = out.select(*by, *times, *(edge(c).alias(f"__e{k}") for c, k in at.items()))
+    raw = {c: pose(F.col(f"__e{k}.transform"), False) for c, k in at.items()}
+    out = out.withColumns({f"__q{k}": F.sqrt(raw[c].rotation.dot(raw[c].rotation)) for c, k in at.items()})
+    poses: dict[str, Pose] = {}
+    for c, k in at.items():
+        out, poses[c] = bound(out, f"__n{k}", Pose(raw[c].translation, raw[c].rotation.normalized(F.col(f"__q{k}"))))
     for k, (a, b) in enumerate(paths.values()):
         fresh = F.lit(False)
         for c in dict.fromkeys((*a, *b)):
             fresh = fresh | F.coalesce(F.col(f"__e{at[c]}.{FRESH}"), F.lit(False))
-        out = relative(out, [f"__n{at[c]}" for c in a], [f"__n{at[c]}" for c in b], f"__v{k}")
-        out = out.withColumn(f"__p{k}", F.struct(F.col(f"__v{k}").alias("transform"), fresh.alias(FRESH))).drop(f"__v{k}")
+        out, value = relative(out, [poses[c] for c in a], [poses[c] for c in b], f"__v{k}")
+        out = out.withColumn(f"__p{k}", F.struct(value.struct().alias("transform"), fresh.alias(FRESH)))
     by_source: dict[str, list[Column]] = {}
     for k, (source, target) in enumerate(paths):
         by_source.setdefault(source, []).append(F.col(f"__p{k}").alias(target))

@@ -44,7 +44,8 @@ def topics_grid(ev: DataFrame, step: int = HOUR, keep_start: bool = False) -> Da
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Rounded to six digits, in doubles: F.round would go through decimal numbers."""
+    return F.rint((F.col(c) if isinstance(c, str) else c) * 1e6) / 1e6
 
 
 def topic_catalog(spark, sf_dir):
@@ -147,7 +148,7 @@ def tf_chain(spark, sf_dir):
     shifted = lambda x: F.struct(F.struct(F.lit(x).alias("x"), F.lit(0.5).alias("y"), F.lit(0.0).alias("z")).alias("translation"), still.alias("rotation"))
     edge = lambda parent, child, t, fresh: F.struct(F.lit(child).alias("child_frame_id"), F.struct(F.lit(parent).alias("frame_id")).alias("header"), t.alias("transform"), F.lit(fresh).alias("is_fresh"))
     rows = p.select("timestamp_ns", F.array(edge("base", "arm", pose, False), edge("arm", "hand", shifted(1.0), True), edge("base", "eye", shifted(-2.0), False)).alias("transforms"))
-    out = tf.chain(rows, [("eye", "hand"), ("hand", "base")], [("base", "arm"), ("arm", "hand"), ("base", "eye")])
+    out = tf.chain(rows, [("eye", "hand"), ("hand", "base")])
     parts = {"tx": "eye.hand.transform.translation.x", "ty": "eye.hand.transform.translation.y", "tz": "eye.hand.transform.translation.z", "rz": "eye.hand.transform.rotation.z", "rw": "eye.hand.transform.rotation.w", "bx": "hand.base.transform.translation.x", "by": "hand.base.transform.translation.y"}
     return out.select("timestamp_ns", *((r6(c) + 0.0).alias(n) for n, c in parts.items()), F.col("eye.hand.is_fresh").alias("fresh"))
 

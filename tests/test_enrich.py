@@ -1,6 +1,8 @@
 """Shifts, deltas, transform trees, commands and field paths."""
 
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,18 +16,40 @@ def series(spark, values, kind="int"):
     return spark.createDataFrame(list(enumerate(values)), f"timestamp_ns long, v {kind}")
 
 
-@pytest.mark.parametrize(("steps", "fill", "kind", "given", "want"), [
-    (1, "edge", "int", [10, 20, 30, 40, 50], [20, 30, 40, 50, 50]),
-    (-1, "edge", "int", [10, 20, 30, 40, 50], [10, 10, 20, 30, 40]),
-    (1, "zero", "int", [10, 20, 30, 40, 50], [20, 30, 40, 50, 0]),
-    (1, "zero", "string", ["a", "b", "c"], ["b", "c", "c"]),
-    (0, "edge", "int", [1, None], [1, None]),
-    (1, "edge", "int", [1, None, 3], [3, 3, 3]),
-    (9, "edge", "int", [1, 2], [None, None]),
-])
-def test_shift(spark, steps, fill, kind, given, want):
-    out = shift.shifted(series(spark, given, kind), steps, fill).orderBy("timestamp_ns").collect()
-    assert [r.v for r in out] == want and [r.timestamp_ns for r in out] == list(range(len(given)))
+def plain_shift(values, steps, fill, kind):
+    moved = [values[k + steps] if 0 <= k + steps < len(values) else None for k in range(len(values))]
+    if fill == "zero" and kind != "string":
+        return [0 if v is None else v for v in moved]
+    first = next((v for v in moved if v is not None), None)
+    out, last = [], first
+    for v in moved:
+        last = last if v is None else v
+        out.append(last)
+    return out
+
+
+@pytest.mark.parametrize("fill", ["edge", "zero"])
+@pytest.mark.parametrize("steps", [-30, -4, -1, 1, 3, 30])
+def test_shift(spark, steps, fill):
+    rng = random.Random(steps)
+    numbers = [rng.choice([None, rng.randrange(100)]) for _ in range(23)]
+    words = [None if v is None else f"w{v}" for v in numbers]
+    df = spark.createDataFrame([(k, v, w) for k, (v, w) in enumerate(zip(numbers, words, strict=True))], "timestamp_ns long, v int, w string")
+    out = shift.shifted(df, steps, fill).orderBy("timestamp_ns").collect()
+    assert [r.v for r in out] == plain_shift(numbers, steps, fill, "int") and [r.w for r in out] == plain_shift(words, steps, fill, "string")
+    assert [r.timestamp_ns for r in out] == list(range(23))
+
+
+def test_no_shift(spark):
+    df = series(spark, [4, None, 6])
+    assert shift.shifted(df, 0) is df
+
+
+def test_shift_of_a_long_key_takes_linear_time(spark):
+    long = spark.range(1_000_000).select(F.col("id").alias("timestamp_ns"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    began = time.perf_counter()
+    r = shift.shifted(long, 5, "edge").agg(F.count("v"), F.max("v"), F.min("v")).first()
+    assert r[:] == (1_000_000, 999_999 // 7 * 7, 7) and time.perf_counter() - began < 60
 
 
 def test_unknown_fill(spark):
@@ -41,7 +65,6 @@ def test_delta_array(spark):
         shift.delta_array(bad).collect()
 
 
-H = math.sqrt(0.5)
 POSE = "struct<translation:struct<x:double,y:double,z:double>,rotation:struct<x:double,y:double,z:double,w:double>>"
 
 
@@ -49,14 +72,38 @@ def pose(x=0.0, y=0.0, z=0.0, q=(0.0, 0.0, 0.0, 1.0)):
     return ((x, y, z), q)
 
 
-@pytest.mark.parametrize(("frame", "want"), [("previous_target_frame", (0, -1, 0)), ("source_frame", (1, 0, 0))])
-def test_delta_transform(spark, frame, want):
-    q = (0.0, 0.0, H, H)
-    rows = [(0, ((pose(q=q),),)), (1, ((pose(1.0, q=tuple(-c for c in q)),),))]
-    df = spark.createDataFrame(rows, f"timestamp_ns long, a struct<b:struct<transform:{POSE}>>")
-    first, second = (r.a.b.delta_transform for r in shift.delta_transforms(df, frame).orderBy("timestamp_ns").collect())
-    assert tuple(first.translation) == (0, 0, 0) and tuple(first.rotation) == (0, 0, 0, 1)
-    assert tuple(second.translation) == pytest.approx(want) and tuple(second.rotation) == pytest.approx((0, 0, 0, 1))
+def turned(q, v):
+    """v turned by a unit quaternion, as a rotation matrix does it."""
+    x, y, z, w = q
+    m = ((1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)), (2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)), (2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)))
+    return tuple(sum(a * b for a, b in zip(row, v, strict=True)) for row in m)
+
+
+def random_pose(rng):
+    q = [rng.gauss(0, 1) for _ in range(4)]
+    n = math.sqrt(sum(c * c for c in q))
+    return tuple(rng.uniform(-3, 3) for _ in range(3)), tuple(c / n for c in q)
+
+
+@pytest.mark.parametrize("frame", ["previous_target_frame", "source_frame"])
+def test_delta_transform(spark, frame):
+    rng = random.Random(frame)
+    poses = [random_pose(rng) for _ in range(12)]
+    df = spark.createDataFrame([(k, ((p,),)) for k, p in enumerate(poses)], f"timestamp_ns long, a struct<b:struct<transform:{POSE}>>")
+    got = [r.a.b.delta_transform for r in shift.delta_transforms(df, frame).orderBy("timestamp_ns").collect()]
+    assert tuple(got[0].translation) == (0, 0, 0) and tuple(got[0].rotation) == (0, 0, 0, 1)
+    for (t0, q0), (t1, q1), d in zip(poses, poses[1:], got[1:], strict=False):
+        moved = tuple(b - a for a, b in zip(t0, t1, strict=True))
+        back = (*(-c for c in q0[:3]), q0[3])
+        assert tuple(d.translation) == pytest.approx(turned(back, moved) if frame == "previous_target_frame" else moved)
+        for v in ((1, 0, 0), (0, 1, 0)):  # turning by the delta, then by the pose before, is turning by the pose
+            assert turned(q0, turned(tuple(d.rotation), v)) == pytest.approx(turned(q1, v))
+
+
+def test_opposite_quaternions_are_one_rotation(spark):
+    _, q = random_pose(random.Random(3))
+    df = spark.createDataFrame([(0, pose(q=q)), (1, pose(q=tuple(-c for c in q)))], f"timestamp_ns long, transform {POSE}")
+    assert tuple(shift.delta_transforms(df).orderBy("timestamp_ns").collect()[1].delta_transform.rotation) == pytest.approx((0, 0, 0, 1))
 
 
 def test_delta_transform_needs_one(spark):
@@ -117,6 +164,33 @@ def test_chain_errors(spark, edges, pair, what):
         chain(spark, edges, [pair])
 
 
+def test_long_chain_against_plain_products(spark):
+    rng = random.Random(8)
+    poses = [random_pose(rng) for _ in range(6)]  # root - n0 - n1 - n2, and root - n3 - n4 - n5
+    names = [("root", "n0"), ("n0", "n1"), ("n1", "n2"), ("root", "n3"), ("n3", "n4"), ("n4", "n5")]
+    edges = [(child, (parent,), p, child == "n4") for (parent, child), p in zip(names, poses, strict=True)]
+    r = chain(spark, edges, [("n2", "n5"), ("n0", "n2")])
+
+    def from_root(point, path):
+        for t, q in reversed(path):
+            point = tuple(a + b for a, b in zip(t, turned(q, point), strict=True))
+        return point
+
+    for pair, down, up in ((r.n2.n5, poses[3:], poses[:3]), (r.n0.n2, poses[1:3], [])):
+        found = (tuple(pair.transform.translation), tuple(pair.transform.rotation))
+        for point in ((0, 0, 0), (1, 2, 3)):
+            assert from_root(from_root(point, [found]), up) == pytest.approx(from_root(point, down))
+    assert r.n2.n5.is_fresh and not r.n0.n2.is_fresh
+
+
+def test_chain_with_repeated_frames_in_a_row(spark):
+    r = chain(spark, [edge("a", "b", False, 1.0), edge("a", "b", True, 2.0)], [("a", "b")])
+    assert r.a.b.transform.translation.x == 1.0
+    df = spark.createDataFrame([(1, [edge("a", "b", False), edge("c", "b", False)])], BUF)
+    with pytest.raises(Exception, match="several parents of frame"):
+        tf.chain(df, [("a", "b")], [("a", "b")]).collect()
+
+
 def test_chain_with_a_missing_edge(spark):
     df = spark.createDataFrame([(1, [edge("a", "b", False)]), (2, [])], BUF)
     with pytest.raises(Exception, match="no transform of frame"):

@@ -1,12 +1,15 @@
 """Timing metrics, ranks, statistics, episodes and merging: known values."""
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomtide.functions import naming
 from loomtide.model import TransformError
 from loomtide.operators import episodes as ep
-from loomtide.operators import merge, metrics, stats
+from loomtide.operators import merge, metrics, ordinals, stats
 
 MS, S = 1_000_000, 1_000_000_000
 
@@ -19,18 +22,51 @@ def window(spark, start, end):
     return spark.createDataFrame([(start * MS, end * MS)], "start_ns long, end_ns long")
 
 
-def test_topic_metrics(spark):
-    r = metrics.topic_metrics(times(spark, {"a": [0, 100, 200, 450, 700]}), window(spark, 0, 500), [], ["a", "b"])
-    a, b = r.orderBy("topic").collect()
-    assert (a.message_count, a.last_message_timestamp_ns, a.observed_topic_span_s, a.episode_coverage_ratio) == (4, 450 * MS, 0.45, 0.9)
-    assert a.observed_hz == pytest.approx(3 / 0.45) and (a.median_topic_interval_ms, a.max_topic_interval_ms, a.max_interval_over_median) == (100, 250, 2.5)
-    assert (b.message_count, b.episode_coverage_ratio, b.observed_topic_span_s, b.observed_hz, b.median_topic_interval_ms) == (0, 0.0, 0.0, None, None)
-    assert a.is_required_topic and b.is_required_topic
-
-
-def test_interval_figures(spark):
-    r = metrics.topic_metrics(times(spark, {"a": [0, 100, 200, 500]}), window(spark, 0, 500), []).first()
-    assert (r.median_topic_interval_ms, r.max_topic_interval_ms, r.max_interval_over_median) == (100, 300, 3)
+def plain_timing(times, start, end):
+    own = sorted(t for t in times if start <= t <= end)
+    if not own:
+        return (0, 0.0, 0.0, None, None, None, None, None)
+    gaps = [b - a for a, b in zip(own, own[1:], strict=False)]
+    span = own[-1] - own[0]
+    middle = statistics.median(gaps) if gaps else None
+    spread = statistics.pstdev(gaps) / statistics.fmean(gaps) if gaps and sum(gaps) else None
+    return (len(own), span / 1000, min(span / (end - start), 1), (len(own) - 1) / (span / 1000) if span else None, middle, spread, max(gaps, default=None), max(gaps) / middle if middle else None)
+
+
+@pytest.mark.parametrize("bucket", [40 * MS, 10_000 * MS])
+def test_topic_metrics(spark, bucket):
+    rng = random.Random(6)
+    topics = {"even": list(range(35, 900, 20)), "odd": sorted(rng.sample(range(1000), 41)), "twice": [300, 300, 410], "one": [512], "late": [990]}
+    rows = metrics.topic_metrics(times(spark, topics), window(spark, 50, 870), [], ["odd", "gone"], bucket_ns=bucket).collect()
+    got = {r.topic: r for r in rows}
+    assert set(got) == {*topics, "gone"} and {t for t, r in got.items() if r.is_required_topic} == {"odd", "gone"}
+    for topic, r in got.items():
+        want = plain_timing(topics.get(topic, []), 50, 870)
+        found = (r.message_count, r.observed_topic_span_s, r.episode_coverage_ratio, r.observed_hz, r.median_topic_interval_ms, r.topic_interval_cv, r.max_topic_interval_ms, r.max_interval_over_median)
+        assert found == tuple(w if w is None else pytest.approx(w) for w in want), topic
+
+
+@pytest.mark.parametrize("bucket", [3, 50, 10_000])
+def test_intervals_over_buckets(spark, bucket):
+    rng = random.Random(bucket)
+    rows = [(k, rng.choice([None, *range(200)]), n) for n, k in enumerate(rng.choices("ab", k=60))]
+    df = spark.createDataFrame(rows, "k string, timestamp_ns long, n int")
+    got = sorted((r.k, r.timestamp_ns, r.gap) for r in metrics.intervals_ms(df, ["k"], name="gap", bucket_ns=bucket).collect() if r.timestamp_ns is not None)
+    want = []
+    for k in "ab":
+        own = sorted(t for kk, t, _ in rows if kk == k and t is not None)
+        want += [(k, t, None if i == 0 else (t - own[i - 1]) / 1e6) for i, t in enumerate(own)]
+    assert [(k, t) for k, t, _ in got] == [(k, t) for k, t, _ in want] and sorted(map(str, got)) == sorted(map(str, want))
+    assert metrics.intervals_ms(df, ["k"], bucket_ns=bucket).count() == 60
+
+
+def test_numbers_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.randrange(50)) for k in rng.sample(range(1000), 300)]
+    got = ordinals.numbered(spark.createDataFrame(rows, "a long, length long").repartition(7), ["a"], "n", "length", "before").orderBy("a").collect()
+    rows.sort()
+    assert [(r.a, r.n, r.before) for r in got] == [(a, k, sum(x for _, x in rows[:k])) for k, (a, _) in enumerate(rows)]
+    assert ordinals.numbered(spark.createDataFrame([], "a long"), ["a"], "n").count() == 0
 
 
 def test_segments(spark):
@@ -103,9 +139,9 @@ def test_merge(spark):
     assert {(r.source, r.task_index): r.global_task_index for r in merge.task_map(tasks).collect()} == {(0, 0): 0, (0, 1): 1, (1, 0): 1, (1, 1): 2}
     eps = spark.createDataFrame([(0, 0, 100), (0, 1, 200), (1, 0, 5)], "source long, episode_index long, length long")
     assert [r.frame_offset for r in merge.renumbered(eps).orderBy("new_episode_index").collect()] == [0, 100, 300]
-    frames = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, -1), (1, 0, 2, 9)], "source long, episode_index long, frame_index long, task_index long")
-    out = merge.merged_frames(frames, eps, merge.task_map(tasks)).orderBy("index").collect()
-    assert [(r.episode_index, r["index"], r.task_index) for r in out] == [(2, 300, 1), (2, 301, -1), (2, 302, 9)]
+    frames = spark.createDataFrame([(1, 0, 0), (1, 1, -1), (1, 2, 9)], "source long, frame_index long, task_index long")
+    out = merge.remapped(frames, merge.task_map(tasks), ["task_index"]).orderBy("frame_index").collect()
+    assert [r.task_index for r in out] == [1, -1, 9]
     with pytest.raises(TransformError):
         merge.check_compatible([{"fps": 30, "features": {}}, {"fps": 10, "features": {}}])
     assert merge.totals(eps, tasks, 2).first()[:] == (3, 305, 3, 6, 1)

@@ -1,4 +1,4 @@
-"""Golden values of the synchronisers, and as-of joins against brute force."""
+"""Synchronisers and as-of joins against brute force."""
 
 import random
 
@@ -10,36 +10,65 @@ from loomtide.operators import sync
 from loomtide.operators.asof import asof
 
 MS = 1_000_000
-T = {
-    "t1": ([400, 650, 900, 1200, 1900, 2050], [9, 15, 21, 26, 30, 34]),
-    "t2": ([450, 680, 940, 1250, 1820, 2030], [41, 44, 50, 53, 57, 63]),
-    "t3": ([500, 730, 980, 1260, 1880, 2010], [5, 9, 14, 18, 23, 27]),
-}
-HELD = {"t1": ([9, 15, 21, 26, 26, 26, 30], "TTTTFFT"), "t2": ([41, 44, 50, 53, 53, 53, 57], "TTTTFFT"), "t3": ([5, 9, 14, 14, 18, 18, 23], "TTTFTFT")}
-NEAR = {"t1": ([9, 15, 21, 26, 26, 30, 34], "TTTTFTT"), "t2": ([41, 44, 50, 53, 53, 57, 63], "TTTTFTT"), "t3": ([5, 9, 14, 18, 18, 23, 27], "TTTTFTT")}
 
 
 def tables(spark, data):
     return {t: spark.createDataFrame([(a * MS, v) for a, v in zip(*d, strict=True)], "timestamp_ns long, value int") for t, d in data.items()}
 
 
-@pytest.mark.parametrize(("method", "golden"), [("zero_order_hold", HELD), ("nearest_neighbor", NEAR)])
-def test_grid(spark, method, golden):
-    out = sync.synchronize(tables(spark, T), 4, method)
-    for topic, (values, fresh) in golden.items():
+def made_series(seed):
+    """Three topics of unlike rates with jitter, gaps and a repeated value."""
+    rng = random.Random(seed)
+    out = {}
+    for topic, gap in (("fast", 17), ("slow", 211), ("bursts", 90)):
+        at, times = rng.randrange(0, 120), []
+        while at < 2600:
+            times.append(at)
+            at += rng.choice((gap, gap, gap + 3, 4 * gap))
+        out[topic] = (times, [rng.randrange(6) for _ in times])
+    return out
+
+
+def bounds_of(series):
+    return max(t[0] for t, _ in series.values()), max(t[-1] for t, _ in series.values())
+
+
+def plain_match(times, at, method):
+    """The place of the row that a grid time takes, by looking at all rows."""
+    before = [k for k, t in enumerate(times) if t <= at]
+    if method == "zero_order_hold":
+        return before[-1] if before else None
+    return min(range(len(times)), key=lambda k: (abs(times[k] - at), times[k]))
+
+
+@pytest.mark.parametrize("method", ["zero_order_hold", "nearest_neighbor"])
+@pytest.mark.parametrize(("seed", "fps"), [(1, 8), (2, 50), (3, 1)])
+def test_grid(spark, method, seed, fps):
+    series = made_series(seed)
+    start, end = bounds_of(series)
+    step = 1000 // fps
+    out = sync.synchronize(tables(spark, series), fps, method)
+    for topic, (times, values) in series.items():
+        rows = out[topic].orderBy("synched_timestamp_ns").collect()
+        grid = list(range(start, end + 1, step))
+        places = [plain_match(times, at, method) for at in grid]
+        assert [r.synched_timestamp_ns // MS for r in rows] == grid
+        assert [r.value for r in rows] == [None if k is None else values[k] for k in places]
+        assert [r.is_fresh for r in rows] == [k is not None and (n == 0 or k != places[n - 1]) for n, k in enumerate(places)]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_merged_timestamps(spark, seed):
+    series = made_series(seed)
+    start, end = bounds_of(series)
+    merged = sorted(t for times, _ in series.values() for t in times if start <= t <= end)
+    out = sync.merge_timestamps(tables(spark, series))
+    for topic, (times, values) in series.items():
         rows = out[topic].orderBy("synched_timestamp_ns").collect()
-        assert [r.synched_timestamp_ns // MS for r in rows] == [500, 750, 1000, 1250, 1500, 1750, 2000]
-        assert [r.value for r in rows] == values
-        assert "".join("FT"[r.is_fresh] for r in rows) == fresh
-
-
-def test_merged_timestamps(spark):
-    out = sync.merge_timestamps(tables(spark, {"a": ([100, 200, 400], [1, 2, 4]), "b": ([150, 250, 350], [10, 20, 30])}))
-    a, b = (out[t].orderBy("synched_timestamp_ns").collect() for t in "ab")
-    assert [r.synched_timestamp_ns // MS for r in a] == [150, 200, 250, 350, 400]
-    assert [r.timestamp_ns // MS for r in a] == [100, 200, 200, 200, 400] and [r.value for r in a] == [1, 2, 2, 2, 4]
-    assert [r.timestamp_ns // MS for r in b] == [150, 150, 250, 350, 350] and [r.value for r in b] == [10, 10, 20, 30, 30]
-    assert "is_fresh" not in out["a"].columns
+        places = [plain_match(times, at, "zero_order_hold") for at in merged]
+        assert [r.synched_timestamp_ns // MS for r in rows] == merged
+        assert [(r.timestamp_ns // MS, r.value) for r in rows] == [(times[k], values[k]) for k in places]
+        assert "is_fresh" not in out[topic].columns
 
 
 def test_wide_gap_takes_the_nearer_side(spark):

@@ -18,10 +18,13 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run", help="run a pipeline file over inputs")
     run.add_argument("--config", required=True)
+    run.add_argument("--jobs", type=int, help="inputs at once; the config's number by default")
     run.add_argument("inputs", nargs="*")
     export = sub.add_parser("export", help="write recordings as bundles")
     export.add_argument("--output-dir", required=True)
     export.add_argument("--require-metadata", action="store_true")
+    export.add_argument("--jobs", type=int, default=1, help="inputs at once")
+    export.add_argument("--stop-on-error", action="store_true")
     export.add_argument("inputs", nargs="+")
     merge = sub.add_parser("merge", help="merge training sets")
     merge.add_argument("--output-dir", required=True)
@@ -44,15 +47,17 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     if args.command == "run":
         job = Orchestrator.from_config(load_config(args.config))
+        job.jobs = args.jobs or job.jobs
         kind = _kind(job.stage_configs[0])
         inputs = discovery.bundles(args.inputs) if kind == "bundle" else discovery.recordings(args.inputs, [kind])
     else:
         inputs = discovery.recordings(args.inputs)
         exports = lambda name: [{name: {"require_metadata": args.require_metadata}}, "UuidEnricherConfig", {"ParquetVideoExporterConfig": {"output_dir": args.output_dir}}]
         failed = 0
-        for path in inputs:
-            name = "Rosbag1IngestorConfig" if path.endswith(".bag") else "Rosbag2IngestorConfig"
-            failed += _report(Orchestrator(exports(name)).run([path], spark))
+        for name, bag in (("Rosbag1IngestorConfig", True), ("Rosbag2IngestorConfig", False)):
+            own = [p for p in inputs if p.endswith(".bag") == bag]
+            if not (failed and args.stop_on_error):
+                failed += _report(Orchestrator(exports(name), stop_on_error=args.stop_on_error, jobs=args.jobs).run(own, spark))
         return int(failed > 0)
     return int(_report(job.run(inputs, spark)) > 0)
 

@@ -157,7 +157,7 @@ def png16_decode(data: bytes) -> np.ndarray:
 
 
 def compressed_depth(data: bytes, format_text: str) -> np.ndarray:
-    """Depth in millimetres, flat, of a compressed depth message: a header, then PNG or run lengths."""
+    """Depth in millimetres, (height, width), of a compressed depth message: a header, then PNG or run lengths."""
     if "32FC1" in format_text:
         raise DecodeError("compressed float depth (32FC1) is not supported")
     if len(data) < HEADER:
@@ -167,12 +167,12 @@ def compressed_depth(data: bytes, format_text: str) -> np.ndarray:
         if len(body) < 8:
             raise DecodeError("a run-length depth image without its size")
         width, height = struct.unpack("<II", body[:8])
-        return rvl_decode(body[8:], width * height)
-    return png16_decode(body).reshape(-1)
+        return rvl_decode(body[8:], width * height).reshape(height, width)
+    return png16_decode(body)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def decode_depth(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """(bytes, format) of compressed depth messages to millimetres."""
+    """(bytes, format) of compressed depth messages to millimetres, row by row."""
     for data, formats in batches:
-        yield pd.Series([None if d is None else compressed_depth(bytes(d), f or "").astype(np.int32) for d, f in zip(data, formats, strict=True)])
+        yield pd.Series([None if d is None else compressed_depth(bytes(d), f or "").reshape(-1).astype(np.int32) for d, f in zip(data, formats, strict=True)])

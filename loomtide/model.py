@@ -6,7 +6,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Reserved column names of the on-disk formats.
@@ -72,6 +73,19 @@ class Recording:
     def with_tables(self, tables: Mapping[str, DataFrame], **changes: Any) -> Recording:
         return replace(self, tables={**self.tables, **tables}, **changes)
 
+    def topics(self) -> list[str]:
+        return sorted(self.tables)
+
+    def message_type(self, topic: str) -> str | None:
+        return self.topic_types.get(topic)
+
+    def batches(self, topic: str) -> pa.Table:
+        """A topic's rows as an Arrow table on the driver, for tables that are known to fit it."""
+        return self.table(topic).toArrow()
+
+    def with_batches(self, topic: str, table: pa.Table, spark: SparkSession) -> Recording:
+        return self.with_tables({topic: spark.createDataFrame(table)})
+
     def mapped(self, change, **changes: Any) -> Recording:
         """Each topic through change(df)."""
         return replace(self, tables={t: change(df) for t, df in self.tables.items()}, **changes)

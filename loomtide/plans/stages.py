@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid as uuids
 from collections.abc import Mapping, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 from typing import Any
@@ -304,11 +305,16 @@ class ImageEncoder(Stage):
 
 @stage("DepthImageEncoderConfig")
 @dataclass
-class DepthImageEncoder(ImageEncoder):
-    """Raw depth payloads as files."""
+class DepthImageEncoder(Stage):
+    """Compressed depth payloads as raw millimetres with their sizes; nothing happens without payloads."""
 
     output_dir: str = "depth"
 
+    def run(self, recording, spark=None, source=None):
+        if recording.payloads is None:
+            return recording
+        return recording.with_tables({}, registry=media.write_depth(recording.payloads, self.output_dir))
+
 
 @stage("VideoDecoderConfig")
 @dataclass
@@ -347,8 +353,11 @@ class TrainingSet(Stage):
     def check(self):
         if not self.outdir or self.robot_model is None:
             raise TransformError("outdir and robot_model are needed")
+        if self.video_config is not None:
+            raise EncodeError("training sets are written without videos: leave video_config out")
 
     def run(self, recording, spark=None, source=None):
+        self.check()
         training_set.write_training_set(_session(spark), recording, feature_map(self.robot_model), self.outdir, self.separate_per_primitive)
         return recording
 
@@ -356,14 +365,19 @@ class TrainingSet(Stage):
 @stage("ParquetVideoExporterConfig")
 @dataclass
 class BundleExport(Stage):
-    """A bundle below output_dir/uuid."""
+    """A bundle below output_dir/uuid, with payloads as they came."""
 
     output_dir: str = ""
     video_config: Mapping[str, Any] | None = None
     depth_config: Mapping[str, Any] | None = None
     single_file: bool = True
 
+    def check(self):
+        if self.video_config is not None or self.depth_config is not None:
+            raise EncodeError("bundles keep payloads as they came: leave video_config and depth_config out")
+
     def run(self, recording, spark=None, source=None):
+        self.check()
         meta = recording.metadata if isinstance(recording.metadata, Mapping) else {}
         name = meta.get("uuid") or (Path(source).stem if source else "recording")
         bundles.write_bundle(_session(spark), recording, f"{self.output_dir.rstrip('/')}/{name}", self.single_file)
@@ -420,30 +434,44 @@ class Pipeline:
 
 @dataclass
 class Orchestrator:
-    """A pipeline over many inputs, one after another; each is itself a distributed job."""
+    """A pipeline over many inputs, jobs of them at once; each is itself a distributed job."""
 
     stage_configs: list[Any]
     work_dir: str = "./work"
     save_contexts: bool = False
     stop_on_error: bool = False
+    jobs: int = 1
 
     @classmethod
     def from_config(cls, config: Mapping[str, Any]) -> Orchestrator:
-        return cls(**{k: v for k, v in config.items() if k in {f.name for f in fields(cls)}})
+        if extra := sorted(set(config) - {f.name for f in fields(cls)}):
+            raise RecordingError(f"there are no settings {extra}")
+        return cls(**config)
+
+    def _run_one(self, path: str, spark: SparkSession | None) -> Exception | None:
+        def keep(k: int, s: Any, recording: Recording) -> None:
+            if self.save_contexts:
+                bundles.dump_tables(recording, f"{self.work_dir}/{Path(path).stem}/{k:02d}_{getattr(s, 'stage_name', 'function')}")
+
+        try:
+            Pipeline([stage_of(c) for c in self.stage_configs]).build().run(None, spark, path, keep)
+        except Exception as e:  # reported for each input
+            return e
+        return None
 
     def run(self, inputs: Sequence[str], spark: SparkSession | None = None) -> dict[str, Exception | None]:
-        """Each input's failure, or None. With stop_on_error the first failure ends the run."""
+        """Each input's failure, or None. With stop_on_error no further input starts after a failure."""
+        spark = _session(spark)
         results: dict[str, Exception | None] = {}
-        for path in inputs:
-            def keep(k: int, s: Any, recording: Recording, path: str = path) -> None:
-                if self.save_contexts:
-                    bundles.dump_tables(recording, f"{self.work_dir}/{Path(path).stem}/{k:02d}_{getattr(s, 'stage_name', 'function')}")
-
-            try:
-                Pipeline([stage_of(c) for c in self.stage_configs]).build().run(None, spark, path, keep)
-                results[path] = None
-            except Exception as e:  # reported for each input
-                results[path] = e
-                if self.stop_on_error:
-                    break
-        return results
+        waiting = list(inputs)
+        with ThreadPoolExecutor(max(1, self.jobs)) as pool:
+            running: dict[Future, str] = {}
+            while waiting or running:
+                while waiting and len(running) < max(1, self.jobs):
+                    path = waiting.pop(0)
+                    running[pool.submit(self._run_one, path, spark)] = path
+                for future in wait(running, return_when=FIRST_COMPLETED).done:
+                    results[running.pop(future)] = error = future.result()
+                    if error is not None and self.stop_on_error:
+                        waiting = []
+        return {path: results[path] for path in inputs if path in results}

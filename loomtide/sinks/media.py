@@ -14,11 +14,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtide.functions.depth import compressed_depth
 from loomtide.functions.naming import file_stem_of
-from loomtide.model import EncodeError
+from loomtide.model import UUID, EncodeError
 
 # Encoder names by codec, pixel formats and ranges of the quality settings.
 RGB_CODECS = {
@@ -105,11 +107,28 @@ def encoder() -> str:
     return found
 
 
-REGISTRY = "topic string, video_path string, codec string, frame_count long, encoding_config_json string"
+REGISTRY = "rosbag_uuid string, topic string, video_path string, codec string, frame_count long, encoding_config_json string"
+
+
+def folder_of(out_dir: str, uuid: str | None, topic: str) -> str:
+    """Where a recording's topic has its files; payloads without a recording's uuid belong to one alone."""
+    return "/".join([out_dir, *([uuid] if uuid else []), file_stem_of(topic)])
+
+
+def _with_uuid(payloads: DataFrame) -> DataFrame:
+    return payloads if UUID in payloads.columns else payloads.withColumn(UUID, F.lit(None).cast("string"))
+
+
+def _write(path: str, data: bytes) -> None:
+    """A whole file or none, under a name of its attempt until then: repeated and speculative tasks may write it, too."""
+    part = f"{path}.{TaskContext.get().taskAttemptId()}.part"
+    with open(part, "wb") as f:
+        f.write(data)
+    os.replace(part, path)
 
 
 def encode_videos(payloads: DataFrame, config: VideoConfig, out_dir: str) -> DataFrame:
-    """One video for each topic from its compressed frames in index order: the registry's rows.
+    """One video for each topic of each recording from its compressed frames in index order: the registry's rows.
 
     Frames go to the encoder as they are, one after another, so a task holds one frame at a time.
     """
@@ -119,46 +138,76 @@ def encode_videos(payloads: DataFrame, config: VideoConfig, out_dir: str) -> Dat
     text = json.dumps({"fps": config.fps, "gop": config.gop, "crf": config.crf, **config.codec_config})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("topic", pa.string()), ("video_path", pa.string()), ("codec", pa.string()), ("frame_count", pa.int64()), ("encoding_config_json", pa.string())])
-        process, topic, path, frames = None, None, "", 0
+        schema = pa.schema([*((n, pa.string()) for n in (UUID, "topic", "video_path", "codec")), ("frame_count", pa.int64()), ("encoding_config_json", pa.string())])
+        process, at, path, part, frames = None, None, "", "", 0
 
         def done() -> pa.RecordBatch:
             process.stdin.close()
             if process.wait():
-                raise EncodeError(f"the encoder failed on {topic!r}")
-            return pa.RecordBatch.from_arrays([[topic], [path], [config.codec], [frames], [text]], schema=schema)
+                raise EncodeError(f"the encoder failed on {at}")
+            os.replace(part, path)
+            return pa.RecordBatch.from_arrays([[c] for c in (*at, path, config.codec, frames, text)], schema=schema)
 
         for batch in batches:
             for r in batch.to_pylist():
-                if r["topic"] != topic:
+                if (r[UUID], r["topic"]) != at:
                     if process:
                         yield done()
-                    topic, frames, path = r["topic"], 0, f"{out_dir}/{file_stem_of(r['topic'])}.mp4"
-                    os.makedirs(out_dir, exist_ok=True)
-                    process = subprocess.Popen([encoder(), "-y", "-loglevel", "error", "-f", "image2pipe", "-framerate", str(config.fps), "-i", "-", *arguments, path], stdin=subprocess.PIPE)
+                    at, frames, path = (r[UUID], r["topic"]), 0, folder_of(out_dir, r[UUID], r["topic"]) + ".mp4"
+                    part = f"{path}.{TaskContext.get().taskAttemptId()}.mp4"
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    process = subprocess.Popen([encoder(), "-y", "-loglevel", "error", "-f", "image2pipe", "-framerate", str(config.fps), "-i", "-", *arguments, part], stdin=subprocess.PIPE)
                 process.stdin.write(r["bytes"])
                 frames += 1
         if process:
             yield done()
 
-    slim = payloads.select("topic", "index", "bytes").repartition("topic").sortWithinPartitions("topic", "index")
+    slim = _with_uuid(payloads).select(UUID, "topic", "index", "bytes").repartition(UUID, "topic").sortWithinPartitions(UUID, "topic", "index")
     return slim.mapInArrow(run, REGISTRY)
 
 
 def write_images(payloads: DataFrame, out_dir: str) -> DataFrame:
-    """Each payload as a file <out_dir>/<topic>/<index>.<extension> in a shared folder: (topic, index, path)."""
+    """Each payload as a file <out_dir>/<uuid>/<topic>/<index>.<extension> in a shared folder: (rosbag_uuid, topic, index, path)."""
+    schema = pa.schema([(UUID, pa.string()), ("topic", pa.string()), ("index", pa.int64()), ("path", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                at = f"{out_dir}/{file_stem_of(r['topic'])}"
+                at = folder_of(out_dir, r[UUID], r["topic"])
                 os.makedirs(at, exist_ok=True)
                 path = f"{at}/{r['index']:06d}.{r['extension']}"
-                with open(path + ".part", "wb") as f:
-                    f.write(r["bytes"])
-                os.replace(path + ".part", path)  # a repeated task leaves whole files
-                rows.append((r["topic"], r["index"], path))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["topic", "index", "path"])
+                _write(path, r["bytes"])
+                rows.append({UUID: r[UUID], "topic": r["topic"], "index": r["index"], "path": path})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    slim = _with_uuid(payloads).select(UUID, "topic", F.col("index").cast("long").alias("index"), "extension", "bytes")
+    return slim.mapInArrow(run, f"{UUID} string, topic string, index long, path string")
+
 
-    return payloads.select("topic", F.col("index").cast("long").alias("index"), "extension", "bytes").mapInArrow(run, "topic string, index long, path string")
+def write_depth(payloads: DataFrame, out_dir: str) -> DataFrame:
+    """Each compressed depth payload as raw little-endian 16-bit millimetres, <index>.bin, in its topic's
+    folder, and the topic's width and height in meta.json there: (rosbag_uuid, topic, index, path, width, height)."""
+    import json
+
+    schema = pa.schema([(UUID, pa.string()), ("topic", pa.string()), ("index", pa.int64()), ("path", pa.string()), ("width", pa.int64()), ("height", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                at = folder_of(out_dir, r[UUID], r["topic"])
+                os.makedirs(at, exist_ok=True)
+                frame = compressed_depth(r["bytes"], r["ros_format"] or "")
+                height, width = frame.shape
+                _write(path := f"{at}/{r['index']}.bin", frame.astype("<u2").tobytes())
+                if told.setdefault(at, (0, 0)) != (width, height):
+                    told[at] = width, height
+                    _write(f"{at}/meta.json", json.dumps({"width": width, "height": height}).encode())
+                rows.append({UUID: r[UUID], "topic": r["topic"], "index": r["index"], "path": path, "width": width, "height": height})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    deep = _with_uuid(payloads).where(F.lower("ros_format").contains("compresseddepth"))
+    slim = deep.select(UUID, "topic", F.col("index").cast("long").alias("index"), "ros_format", "bytes")
+    return slim.mapInArrow(run, f"{UUID} string, topic string, index long, path string, width long, height long")

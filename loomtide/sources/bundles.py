@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtide.functions.naming import file_stem_of
+from loomtide.functions.naming import file_stem, file_stem_of
 from loomtide.model import UUID, IngestError, Recording
 from loomtide.sources import metadata
 
 # Names of the system tables.
 METADATA, TOPIC_TYPES, REGISTRY = "_metadata", "_topic_type_map", "_video_registry"
+#: Payloads as they came, by topic: an extension of the format, which has videos in their place.
+PAYLOADS = "_payloads"
 
 
 def _plain_integers(df: DataFrame) -> DataFrame:
@@ -28,6 +30,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return _plain_integers(spark.read.parquet(path))
 
 
+def _optional(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def read_bundle(spark: SparkSession, root: str, uuid: str | None = None) -> Recording:
     """A bundle as a Recording. A topic that the type map has twice is an error."""
     base = f"{root.rstrip('/')}/parquet"
@@ -38,14 +49,9 @@ def read_bundle(spark: SparkSession, root: str, uuid: str | None = None) -> Reco
     tables = {n: read_table(spark, f"{base}/{file_stem_of(n)}.parquet") for n in names}
     if uuid:
         tables = {n: df.withColumn(UUID, F.lit(uuid)) for n, df in tables.items()}
-    try:
-        registry = spark.read.parquet(f"{base}/{REGISTRY}.parquet")
-    except Exception as e:  # the registry is optional
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        registry = None
+    payloads, registry = (_optional(spark, f"{base}/{name}.parquet") for name in (PAYLOADS, REGISTRY))
     meta = metadata.from_frame(spark.read.parquet(f"{base}/{METADATA}.parquet"))
-    return Recording(tables, None, registry, meta, None, {r["topic"]: r["type"] for r in types})
+    return Recording(tables, payloads and payloads.drop("of"), registry, meta, None, {r["topic"]: r["type"] for r in types})
 
 
 def write_bundle(spark: SparkSession, recording: Recording, root: str, single_file: bool = False) -> None:
@@ -58,6 +64,9 @@ def write_bundle(spark: SparkSession, recording: Recording, root: str, single_fi
     spark.createDataFrame(rows, "topic string, type string").coalesce(1).write.mode("overwrite").parquet(f"{base}/{TOPIC_TYPES}.parquet")
     if recording.metadata is not None:
         metadata.to_frame(spark, [recording.metadata]).coalesce(1).write.mode("overwrite").parquet(f"{base}/{METADATA}.parquet")
+    if recording.payloads is not None:
+        by_topic = recording.payloads.withColumn("of", file_stem(F.col("topic")))
+        by_topic.write.mode("overwrite").partitionBy("of").parquet(f"{base}/{PAYLOADS}.parquet")
     if recording.registry is not None:
         recording.registry.write.mode("overwrite").parquet(f"{base}/{REGISTRY}.parquet")
 

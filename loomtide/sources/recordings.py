@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomtide.functions.naming import payload_format
+from loomtide.functions.naming import payload_format, route
 from loomtide.model import INDEX, PUBLISHED, TIMESTAMP, UUID, IngestError, Recording
 from loomtide.operators.payload import indexed
 from loomtide.sources import containers, metadata
@@ -133,17 +133,6 @@ def topic_catalog(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.format("recording").option("paths", json.dumps(list(paths))).option("mode", "topics").load()
 
 
-def route_of(topic: str, type_name: str) -> str:
-    last = topic.rsplit("/", 1)[-1]
-    if last == "compressedDepth":
-        return "compressed_depth"
-    if last == "compressed":
-        return "compressed_image"
-    if type_name.endswith("Image") and not type_name.endswith("CompressedImage"):
-        return "image"
-    return "point_cloud" if type_name.endswith("PointCloud2") else "plain"
-
-
 def decoded(raw: DataFrame, defs: Definitions, apart: bool = False) -> DataFrame:
     """Messages of one topic as its table, with rosbag_uuid and seq; apart keeps the data bytes as __bytes."""
     shown = externalized(defs) if apart else defs
@@ -173,19 +162,19 @@ def ingest(spark: SparkSession, paths: Sequence[str], require_metadata: bool = F
     """
     if require_metadata and (bare := [p for p in paths if sidecar(p) is None]):
         raise IngestError(f"recordings without meta.json: {bare}")
-    about = topic_catalog(spark, paths).select("topic", "type", "definition").distinct().collect()  # as many as topics
-    kinds: dict[str, tuple[str, str]] = {}
+    about = topic_catalog(spark, paths).select("topic", "type", "definition").distinct()
+    about = about.withColumn("route", route(F.col("topic"), F.col("type"))).collect()  # as many as topics
+    kinds: dict[str, tuple[str, str, str]] = {}
     for r in about:
-        if kinds.setdefault(r["topic"], (r["type"], r["definition"])) != (r["type"], r["definition"]):
+        if kinds.setdefault(r["topic"], (r["type"], r["definition"], r["route"]))[:2] != (r["type"], r["definition"]):
             raise IngestError(f"topic {r['topic']!r} has several definitions")
     if staging:
         raw_messages(spark, paths).write.mode("overwrite").partitionBy("topic").parquet(staging)
     tables, payloads = {}, []
-    for topic, (type_name, text) in sorted(kinds.items()):
+    for topic, (type_name, text, way) in sorted(kinds.items()):
         defs = parse_definitions(type_name, text)
         raw = spark.read.parquet(staging).where(F.col("topic") == topic) if staging else raw_messages(spark, paths, [topic])
-        route = route_of(topic, type_name)
-        apart = route != "plain" and externalized(defs) != defs and not (route == "image" and any(p.endswith(".bag") for p in paths))
+        apart = way != "plain" and externalized(defs) != defs and not (way == "image" and any(p.endswith(".bag") for p in paths))
         df = decoded(raw, defs, apart)
         if apart:
             df = indexed(df, [UUID], [TIMESTAMP, "seq"])
@@ -194,4 +183,4 @@ def ingest(spark: SparkSession, paths: Sequence[str], require_metadata: bool = F
             df = df.drop("__bytes")
         tables[topic] = df.drop("seq")
     metas = [m for p in paths if (m := sidecar(p))]
-    return Recording(tables, reduce(DataFrame.unionByName, payloads) if payloads else None, None, metas[0] if len(metas) == 1 else metas or None, None, {t: k for t, (k, _) in kinds.items()})
+    return Recording(tables, reduce(DataFrame.unionByName, payloads) if payloads else None, None, metas[0] if len(metas) == 1 else metas or None, None, {t: k for t, (k, _, _) in kinds.items()})

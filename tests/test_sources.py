@@ -14,13 +14,14 @@ from loomtide.__main__ import main
 from loomtide.functions import depth
 from loomtide.model import DecodeError, EncodeError, IngestError, Recording, RecordingError
 from loomtide.operators import payload
-from loomtide.plans.stages import STAGES, Orchestrator, Pipeline, stage_of
+from loomtide.plans.stages import STAGES, DepthImageEncoder, ImageEncoder, Orchestrator, Pipeline, stage_of
 from loomtide.sinks import media
 from loomtide.sources import bundles, containers, discovery, metadata
 from loomtide.sources.messages import decode, encode
 from loomtide.sources.recordings import ingest
 from loomtide.sources.schema_text import parse_definitions, parse_fields, struct_type
 
+# Message definitions and metadata keys are those of the formats.
 SEP = "\n" + "=" * 80 + "\n"
 JOINT = "# state\nstd_msgs/Header header\nstring[] name\nfloat64[] position\nfloat64[] velocity\nfloat64[] effort" + SEP + "MSG: std_msgs/Header\nbuiltin_interfaces/Time stamp\nstring frame_id"
 IMAGE = "string format\nuint8[] data"
@@ -28,12 +29,12 @@ ODD = "uint8 A=3\nbool b\nint8 c\nuint16 d\nint64 e\nfloat32[2] f\nstring<=10 s\
 
 
 def joint(i):
-    return {"header": {"stamp": {"sec": i, "nanosec": 5}, "frame_id": "f"}, "name": ["j1", "j2"], "position": [0.1 * i, 0.2 * i], "velocity": [0.0, 0.0], "effort": []}
+    return {"header": {"stamp": {"sec": i, "nanosec": 5}, "frame_id": "f"}, "name": ["j1", "j2"], "position": [3.0 + i, 0.5 * i * i], "velocity": [0.0, 0.0], "effort": []}
 
 
 def recording_messages(n=10, encoding="cdr"):
     j, c = parse_definitions("sensor_msgs/msg/JointState", JOINT), parse_definitions("sensor_msgs/CompressedImage", IMAGE)
-    step, out = 33_333_333, []
+    step, out = 40_000_000, []
     for i in range(n):
         out.append(containers.Message("/joint_states", "sensor_msgs/msg/JointState", JOINT, encoding, 1_000_000_000 + i * step, None if encoding == "ros1" else 7 + i, encode(j, joint(i), encoding)))
         out.append(containers.Message("/cam/compressed", "sensor_msgs/CompressedImage", IMAGE, encoding, 1_000_000_001 + i * step, None, encode(c, {"format": "jpeg", "data": list(bytes([i] * 3))}, encoding)))
@@ -94,7 +95,7 @@ def test_ingest(spark, mcap, tmp_path):
     for staging in (None, str(tmp_path / "staging")):
         r = ingest(spark, [mcap], True, staging)
         rows = r.table("/joint_states").orderBy("timestamp_ns").collect()
-        assert len(rows) == 10 and rows[3].position == pytest.approx([0.3, 0.6]) and rows[3].publish_timestamp_ns == 10 and rows[3].rosbag_uuid == "u1" and rows[3].header.stamp.sec == 3
+        assert len(rows) == 10 and rows[3].position == [6.0, 4.5] and rows[3].publish_timestamp_ns == 10 and rows[3].rosbag_uuid == "u1" and rows[3].header.stamp.sec == 3
         cam = r.table("/cam/compressed")
         assert "data" not in cam.columns and [x["index"] for x in cam.orderBy("timestamp_ns").collect()] == list(range(10))
         p = r.payloads.orderBy("index").collect()
@@ -119,6 +120,10 @@ def test_bundle_round_trip(spark, mcap, tmp_path):
     assert set(back.tables) == set(r.tables) and back.metadata["labels"] == ["pick", "place"] and back.metadata["episode"]["end_time"] == 1.3
     assert sorted(map(str, back.table("/joint_states").collect())) == sorted(map(str, r.table("/joint_states").select(*back.table("/joint_states").columns).collect()))
     assert discovery.bundles([tmp_path]) == [str(tmp_path / "out/u1")]
+    images = lambda x: sorted((p.rosbag_uuid, p.topic, p["index"], p.extension, bytes(p["bytes"])) for p in x.payloads.collect())
+    assert images(back) == images(r) and len(images(r)) == 10 and images(r)[7][4] == b"\7\7\7"
+    shown = payload.lookup(back.table("/cam/compressed"), back.payloads.drop("topic", "extension", "ros_format"), ["rosbag_uuid"])
+    assert shown.where("bytes is null").count() == 0 and shown.count() == 10
     bundles.dump_tables(r, str(tmp_path / "dump"))
     assert set(bundles.load_tables(spark, str(tmp_path / "dump"))) == set(r.tables)
     (tmp_path / "dump/bad.parquet").write_bytes(b"no")
@@ -208,6 +213,47 @@ def test_payloads(spark):
     assert {r.topic[1]: (r.height, r.width) for r in payload.image_shapes(images, infos).collect()} == {"c": (10, 20), "d": (4, 5)}
 
 
+def test_images_of_two_recordings(spark, mcap, tmp_path):
+    with open(tmp_path / "b.mcap", "wb") as f:
+        containers.write_mcap(f, [m for m in recording_messages(4) if m.topic == "/cam/compressed"], "")
+    both = ingest(spark, [mcap, str(tmp_path / "b.mcap")])
+    out = ImageEncoder(str(tmp_path / "img")).run(both).registry.collect()
+    assert len(out) == len({r.path for r in out}) == 14 and all(open(r.path, "rb").read() == bytes([r["index"]] * 3) for r in out)
+    assert not list((tmp_path / "img").rglob("*.part"))
+
+
+def test_depth_files(spark, tmp_path):
+    frames = [np.arange(12, dtype=np.uint16).reshape(3, 4) * k for k in (1, 300)]
+    rows = [(u, "/d/compressedDepth", k, "16UC1; compressedDepth png", b"\0" * 12 + png16(f, 1)) for u in ("u1", "u2") for k, f in enumerate(frames)]
+    p = spark.createDataFrame([*rows, ("u1", "/c", 0, "jpeg", b"x")], "rosbag_uuid string, topic string, index long, ros_format string, bytes binary")
+    out = DepthImageEncoder(str(tmp_path / "depth")).run(Recording(payloads=p)).registry.collect()
+    assert sorted((r.rosbag_uuid, r["index"], r.width, r.height) for r in out) == [(u, k, 4, 3) for u in ("u1", "u2") for k in (0, 1)]
+    assert all((np.fromfile(r.path, dtype="<u2").reshape(3, 4) == frames[r["index"]]).all() for r in out)
+    assert json.loads((tmp_path / "depth/u2/d__compressedDepth/meta.json").read_text()) == {"width": 4, "height": 3}
+    assert DepthImageEncoder().run(Recording()).registry is None
+
+
+def test_settings_without_effect_are_refused():
+    for name in ("ParquetVideoExporterConfig", "LeRobotV21TransformerConfig"):
+        with pytest.raises((EncodeError, RecordingError)):
+            Pipeline([stage_of({name: {"video_config": {"fps": 30}, **({"outdir": "x", "robot_model": []} if name[0] == "L" else {"output_dir": "x"})}})]).build()
+    with pytest.raises(RecordingError, match="no settings"):
+        Orchestrator.from_config({"stage_configs": [], "workdir": "x"})
+
+
+def test_inputs_at_once(spark, mcap, tmp_path):
+    bad = str(tmp_path / "bad.mcap")
+    open(bad, "wb").write(b"no")
+    job = [{"Rosbag2IngestorConfig": {"require_metadata": False}}]
+    results = Orchestrator(job, jobs=3).run([bad, mcap, bad + "x"], spark)
+    assert list(results) == [bad, mcap, bad + "x"] and [e is None for e in results.values()] == [False, True, False]
+
+
+def test_accessors(spark):
+    r = bundles.from_tables(spark, {"/t": pa.table({"v": [1]})}).with_batches("/u", pa.table({"w": [2.0]}), spark)
+    assert r.topics() == ["/t", "/u"] and r.batches("/u").to_pydict() == {"w": [2.0]} and r.message_type("/t") is None
+
+
 def test_media_settings(tmp_path, spark):
     assert media.VideoConfig(codec_config={"codec": "H264_VAAPI"}, crf="21", resize=(64, 48)).arguments()[:2] == ["-vf", "scale=64:48:flags=bicubic"]
     for bad in ({"crf": "99"}, {"gop": 0}, {"resize": (3, 4)}, {"scaling": "x"}, {"codec_config": {"codec": "VP8"}}, {"codec_config": {"codec": "H264", "bframes": 20}}):
@@ -237,9 +283,9 @@ def test_pipeline_and_merge(spark, mcap, tmp_path):
     assert about["total_episodes"] == 2 and about["total_frames"] == 6 and about["fps"] == 20 and about["features"]["state"] == {"dtype": "float64", "shape": [2], "names": ["j1", "j2"]}
     assert [e["episode_id"] for e in lines] == ["u1:0", "u1:1"] and [e["length"] for e in lines] == [3, 3] and lines[0]["short_horizon_task"] == ["all"]
     first = spark.read.parquet(str(a / "data/chunk-000/episode_000000.parquet")).orderBy("index").collect()
-    assert [r.state[0] for r in first] == pytest.approx([0.0, 0.1, 0.3]) and [r.action[0] for r in first] == pytest.approx([0.1, 0.3, 0.4]) and [r["next.done"] for r in first] == [False, False, True]
+    assert [r.state[0] for r in first] == [3.0, 4.0, 5.0] and [r.action[0] for r in first] == [4.0, 5.0, 6.0] and [r["next.done"] for r in first] == [False, False, True]
     figures = [json.loads(x) for x in (a / "meta/episodes_stats.jsonl").read_text().splitlines()]
-    assert figures[0]["stats"]["state"]["max"] == pytest.approx([0.3, 0.6]) and figures[0]["stats"]["state"]["count"] == [3]
+    assert figures[0]["stats"]["state"]["max"] == [5.0, 2.0] and figures[0]["stats"]["state"]["count"] == [3]
     assert (tmp_path / "work/a/01_ZeroOrderHoldTimeSynchronizerConfig/joint_states.parquet").exists()
     assert main(["merge", "--output-dir", str(tmp_path / "all"), str(tmp_path / "sets")]) == 0
     merged = [json.loads(x) for x in (tmp_path / "all/meta/episodes.jsonl").read_text().splitlines()]
@@ -286,10 +332,11 @@ def test_discovery(tmp_path):
 def test_streams(spark, tmp_path):
     from loomtide.streaming.hold import held
 
-    spark.createDataFrame([("a", 1, 1.0), ("a", 5, 1.0), ("b", 2, 3.0), ("a", 9, 2.0)], "key string, timestamp_ns long, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    day = 86_400 * 10**9  # rows of the epoch itself are before any watermark
+
+    spark.createDataFrame([("a", day + 1, 1.0), ("a", day + 5, 1.0), ("b", day + 2, 3.0), ("a", day + 9, 2.0)], "key string, timestamp_ns long, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, timestamp_ns long, value double").parquet(str(tmp_path / "in"))
-    q = held(stream).writeStream.format("memory").queryName("held_out").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = sorted((r.key, r.timestamp_ns, r.gap_ns, r.is_fresh) for r in spark.table("held_out").collect())
+    q = held(stream).writeStream.format("memory").queryName("held_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    got = sorted((r.key, r.timestamp_ns - day, r.gap_ns, r.is_fresh) for r in spark.table("held_out").collect())
     assert [(k, t, f) for k, t, _, f in got] == [("a", 1, True), ("a", 5, False), ("a", 9, True), ("b", 2, True)] and [g for _, _, g, _ in got][1:3] == [4, 4]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomtide.llm import bpe, embedding_dedup, packing, pii, quality, secret_scan, simhash, token_count, topk_bitsliced, toxicity
 from loomtide.llm.common import table
+from loomtide.llm.oracles import ORACLES
 
 
 def vocabulary(name: str) -> str:
@@ -82,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -28,9 +28,14 @@ def step_ns(fps: float) -> int:
     return NS // int(fps) if float(fps).is_integer() else int(NS / fps)
 
 
+def topic_catalog(long: DataFrame, by: Sequence[str], topic: str = "topic", time: str = TIMESTAMP) -> DataFrame:
+    """(by, topic, n, first_ns, last_ns)."""
+    return long.groupBy(*by, topic).agg(F.count("*").alias("n"), F.min(time).alias("first_ns"), F.max(time).alias("last_ns"))
+
+
 def topic_bounds(long: DataFrame, by: Sequence[str], topic: str = "topic", time: str = TIMESTAMP) -> DataFrame:
     """(by, topic, first_ns, last_ns)."""
-    return long.groupBy(*by, topic).agg(F.min(time).alias("first_ns"), F.max(time).alias("last_ns"))
+    return topic_catalog(long, by, topic, time).drop("n")
 
 
 def bounds(long: DataFrame, by: Sequence[str], topic: str = "topic", time: str = TIMESTAMP) -> DataFrame:
@@ -50,6 +55,13 @@ def grid(limits: DataFrame, step: int, name: str = SYNCED, keep_start: bool = Fa
     return chunks.select(*rest, "start_ns", F.explode(points).alias("__i")).select(*rest, *(["start_ns"] if keep_start else []), (F.col("start_ns") + F.col("__i") * step).alias(name))
 
 
+def topics_grid(long: DataFrame, by: Sequence[str], step: int, topic: str = "topic", time: str = TIMESTAMP, keep_start: bool = False) -> DataFrame:
+    """(by, topic, synched_timestamp_ns): each topic on its recording's grid; both bounds come from one aggregate over topics."""
+    whole = Window.partitionBy(*by)
+    limits = topic_bounds(long, by, topic, time).select(*by, topic, F.max("first_ns").over(whole).alias("start_ns"), F.max("last_ns").over(whole).alias("end_ns"))
+    return grid(limits, step, keep_start=keep_start)
+
+
 def with_freshness(df: DataFrame, by: Sequence[str], matched: Column, time: str = SYNCED) -> DataFrame:
     """df with is_fresh: matched, a time, is not null and differs from that of the row before.
 
@@ -131,6 +143,15 @@ def merge_timestamps(tables: Mapping[str, DataFrame], seq: Sequence[str] = (), s
     return {t: _spread(asof(points, df, by, SYNCED, TIMESTAMP, [c for c in seq if c in df.columns]).withColumnRenamed("backward", "row"), df, by, False) for t, df in tables.items()}
 
 
+def merged(long: DataFrame, by: Sequence[str], topic: str = "topic", time: str = TIMESTAMP, seq: Sequence[str] = (), bucket_ns: int = BUCKET_NS) -> DataFrame:
+    """(by, topic, synched_timestamp_ns, row): merge_timestamps over one long table, as a single as-of join."""
+    topics = topic_bounds(long, by, topic, time)
+    limits = topics.groupBy(*by).agg(F.max("first_ns").alias("start_ns"), F.max("last_ns").alias("end_ns"))
+    points = long.select(*by, F.col(time).alias(SYNCED)).join(limits, list(by)).where(F.col(SYNCED).between(F.col("start_ns"), F.col("end_ns")))
+    targets = points.join(topics, list(by)).select(*by, topic, SYNCED)
+    return asof(targets, long, [*by, topic], SYNCED, time, seq, bucket_ns=bucket_ns).withColumnRenamed("backward", "row")
+
+
 def excluded_rows(long: DataFrame, by: Sequence[str], topic: str = "topic", time: str = TIMESTAMP) -> DataFrame:
     """Rows outside their recording's bounds."""
     limits = bounds(long, by, topic, time)

@@ -70,7 +70,7 @@ SELECT rec, topic, t AS synched_timestamp_ns, timestamp_ns, value, timestamp_ns
     "shift_future_edge": _shift(2, "edge"),
     "shift_past_edge": _shift(-3, "edge"),
     "shift_zero": _shift(1, "zero"),
-    "delta_array": "WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings) SELECT vec_id, " + ", ".join(f"round(coalesce({c} - lag({c}) OVER (PARTITION BY label ORDER BY vec_id), 0) + 0.0, 6) AS d{k}" for k, c in enumerate("abcd")) + " FROM e",
+    "delta_array": "WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(coalesce(x - lag(x) OVER (PARTITION BY label, pos ORDER BY vec_id), 0) + 0.0, 6) AS d FROM e",
     "delta_transform_source": _delta(False),
     "delta_transform_target": _delta(True),
     "tf_buffer": f"""WITH {EV}, m AS (SELECT * FROM ev WHERE value IS NOT NULL), times AS (SELECT DISTINCT rec, timestamp_ns AS t FROM m), frames AS (SELECT DISTINCT rec, topic FROM m), gt AS (SELECT times.rec, topic, t FROM times JOIN frames USING (rec)),
@@ -108,11 +108,11 @@ SELECT rs.rec, rs.segment_index, segment_label, segment_success, round(end_s - s
     "topic_routes": "WITH k AS (SELECT page_id, CAST(page_id % 5 + 1 AS INTEGER) AS k FROM pages) SELECT page_id, '/cam' || page_id || ['/image/compressed', '/depth/compressedDepth', '/image_raw', '/points', '/joint_states'][k] AS topic, ['compressed_image', 'compressed_depth', 'image', 'point_cloud', 'plain'][k] AS route FROM k",
     "task_table": "WITH f AS (SELECT conv_id, role AS task, min((turn, role)) AS seen FROM conversations GROUP BY ALL) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY seen) - 1 AS task_index, task FROM f",
     "image_shapes": "WITH p AS (SELECT p_partkey % 50 AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS own, p_size FROM part) SELECT '/cam' || k || '/image/compressed' AS topic, coalesce(max(own), max(p_size + 100)) AS height, coalesce(max(own * 2), max(p_size)) AS width FROM p GROUP BY k",
-    "channel_stats": "WITH u AS (SELECT label, vec_id, unnest(range(len(embedding))) % 4 AS c, CAST(trunc(abs(unnest(embedding) * CAST(255 AS FLOAT))) AS INTEGER) / 255.0::DOUBLE AS x FROM embeddings) SELECT label, " + ", ".join(f"round({f}(x) FILTER (c = {k}), 6) AS {n}{k}" for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop")) for k in (0, 3)) + ", count(DISTINCT vec_id) AS count FROM u GROUP BY label",
+    "channel_stats": "WITH u AS (SELECT label, vec_id, unnest(range(len(embedding))) % 4 AS c, CAST(trunc(abs(unnest(embedding) * CAST(255 AS FLOAT))) AS INTEGER) / 255.0::DOUBLE AS x FROM embeddings) SELECT label, " + ", ".join(f"round({f}(x) FILTER (c = {k}), 6) AS {n}{k}" for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop")) for k in range(4)) + ", count(DISTINCT vec_id) AS count FROM u GROUP BY label",
     "command_synthesis": f"WITH {EV}, s AS (SELECT rec, arg_min(value, timestamp_ns) AS v, arg_min(seq, timestamp_ns) AS q FROM ev WHERE topic = 'view' GROUP BY rec) SELECT ev.rec, timestamp_ns, seq, CAST(q AS DOUBLE) AS p0, v AS p1, 'a,b' AS joints FROM ev JOIN s ON ev.rec = s.rec WHERE topic = 'click'",
     "topic_file_stem": f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), s AS (SELECT *, string_split(path, '/') AS parts FROM p) SELECT page_id, replace(ltrim(path, '/'), '/', '__') AS stem, parts[len(parts)] AS last, array_to_string(parts[1:len(parts) - 2], '/') || '/camera_info' AS info FROM s",
     "payload_format": "SELECT doc_id, ['jpg', 'png', 'webp', 'bin', 'jpg'][CAST(doc_id % 5 + 1 AS INTEGER)] AS format, 'episode_' || CASE WHEN doc_id < 1000000 THEN lpad(CAST(doc_id AS VARCHAR), 6, '0') ELSE CAST(doc_id AS VARCHAR) END AS episode, source || ':' || n_chars AS segment_id FROM documents",
     "feature_compat": """WITH a AS (SELECT 'f' || p_partkey AS name, p_brand AS d, CASE WHEN p_size % 11 = 1 THEN 0 ELSE p_size END AS s FROM part WHERE p_partkey % 7 <> 1), b AS (SELECT 'f' || p_partkey AS name, p_brand AS d, CASE WHEN p_size % 11 = 2 THEN 0 ELSE p_size END AS s FROM part WHERE p_partkey % 7 <> 2)
 SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'only right' WHEN b.name IS NULL THEN 'only left' ELSE 'shape' END AS difference FROM a FULL JOIN b ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.s <> b.s""",
-    "metadata_json": "SELECT event_id, json_extract_string(props, '$.k') AS k, length(props) > 2 AS has FROM events",
+    "metadata_json": f"WITH {EV}, m AS (SELECT *, seq % 3 <> 0 AS new FROM ev) SELECT seq, CASE WHEN new THEN '2' ELSE '1' END AS version, CASE WHEN new THEN 'r' || seq END AS uuid, CASE WHEN new THEN 2 END AS n_segments, CASE WHEN new THEN 'rest' END AS first, CASE WHEN new THEN CASE WHEN seq % 2 = 1 THEN 'rest' ELSE topic END END AS second, CASE WHEN new THEN round(timestamp_ns / 1e9 + 1 + 1, 6) END AS end_time FROM m",
 }

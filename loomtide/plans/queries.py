@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomtide.functions import depth, naming
 from loomtide.functions.fieldpath import field
+from loomtide.model import Recording
 from loomtide.operators import asof as asof_ops
 from loomtide.operators import commands, episodes, merge, metrics, payload, shift, stats, sync, tf
+from loomtide.sources import metadata
 
 HOUR = 3_600_000_000_000
 DAY = 24 * HOUR
@@ -37,10 +38,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics_grid(ev: DataFrame, step: int = HOUR, keep_start: bool = False) -> DataFrame:
-    """(rec, topic, synched_timestamp_ns): both bounds come from one aggregate over topics."""
-    by_rec = Window.partitionBy("rec")
-    limits = sync.topic_bounds(ev, REC).select("rec", "topic", F.max("first_ns").over(by_rec).alias("start_ns"), F.max("last_ns").over(by_rec).alias("end_ns"))
-    return sync.grid(limits, step, keep_start=keep_start)
+    return sync.topics_grid(ev, REC, step, keep_start=keep_start)
 
 
 def r6(c: Column | str) -> Column:
@@ -49,7 +47,7 @@ def r6(c: Column | str) -> Column:
 
 
 def topic_catalog(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("rec", "topic").agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
+    return sync.topic_catalog(events(spark, sf_dir), REC)
 
 
 def timeline_bounds(spark, sf_dir):
@@ -73,12 +71,8 @@ def sync_nearest(spark, sf_dir):
 
 
 def sync_timestamp_merge(spark, sf_dir):
-    ev = events(spark, sf_dir)
-    limits = sync.bounds(ev, REC)
-    points = ev.join(limits, "rec").where(F.col("timestamp_ns").between(F.col("start_ns"), F.col("end_ns"))).select("rec", F.col("timestamp_ns").alias("synched_timestamp_ns"))
-    all_topics = ev.select("rec", "topic").distinct()
-    held = asof_ops.asof(points.join(all_topics, "rec"), ev, TOPIC, "synched_timestamp_ns", "timestamp_ns", ["seq"], bucket_ns=BUCKET)
-    return held.select("rec", "topic", "synched_timestamp_ns", F.col("backward.timestamp_ns").alias("timestamp_ns"), F.col("backward.value").alias("value"))
+    held = sync.merged(events(spark, sf_dir), REC, seq=["seq"], bucket_ns=BUCKET)
+    return held.select("rec", "topic", "synched_timestamp_ns", F.col("row.timestamp_ns").alias("timestamp_ns"), F.col("row.value").alias("value"))
 
 
 def asof_forward(spark, sf_dir):
@@ -100,9 +94,9 @@ def _shift(steps: int, fill: str):
 
 
 def delta_array(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("position"))
+    e = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("position"))
     d = shift.delta_array(e, "position", "delta_position", ["label"], ["vec_id"])
-    return d.select("vec_id", *(r6(F.get("delta_position", F.lit(k)) + 0.0).alias(f"d{k}") for k in range(4)))
+    return d.select("vec_id", F.posexplode("delta_position").alias("pos", "d")).withColumn("d", r6("d") + 0.0)
 
 
 def poses(spark, sf_dir) -> DataFrame:
@@ -154,7 +148,8 @@ def tf_chain(spark, sf_dir):
 
 
 def uuid_stamp(spark, sf_dir):
-    return events(spark, sf_dir).withColumn("rosbag_uuid", F.lit("0b6f6e0a-recording")).select("rosbag_uuid", "rec", "seq", "value")
+    recording = commands.stamped(Recording({"/events": events(spark, sf_dir)}), "0b6f6e0a-recording")
+    return recording.table("/events").select("rosbag_uuid", "rec", "seq", "value")
 
 
 def month(ev: DataFrame) -> DataFrame:
@@ -311,8 +306,14 @@ def feature_compat(spark, sf_dir):
 
 
 def metadata_json(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), (F.length("props") > 2).alias("has"))
+    """A recording's metadata for each event, two thirds of them of version 2.0, as JSON texts and back."""
+    e = events(spark, sf_dir)
+    part = lambda first, label: F.struct((F.col("timestamp_ns") / 1e9 + first).alias("start_time"), (F.col("timestamp_ns") / 1e9 + first + 1).alias("end_time"), label.alias("label_idx"), (F.col("seq") % 2 == 0).alias("success"))
+    new = F.struct(F.lit("2.0").alias("schema_version"), F.concat(F.lit("r"), F.col("seq")).alias("uuid"), F.array("topic", F.lit("rest")).alias("labels"), F.array(part(0, F.lit(1)), part(1, (F.col("seq") % 2).cast("int"))).alias("segments"))
+    old = F.struct(F.lit("1.3").alias("version"), F.concat(F.lit("r"), F.col("seq")).alias("uuid"))
+    text = F.when(F.col("seq") % 3 == 0, F.to_json(old)).otherwise(F.to_json(new))
+    read_back = e.select("seq", metadata.version_of(text).alias("version"), metadata.parsed(text).alias("m"))
+    return read_back.select("seq", "version", "m.uuid", F.size("m.segments").alias("n_segments"), metadata.segment_label(F.col("m"), 0).alias("first"), metadata.segment_label(F.col("m"), 1).alias("second"), r6(F.get("m.segments", F.lit(1))["end_time"]).alias("end_time"))
 
 
 def payload_lookup(spark, sf_dir):
@@ -345,7 +346,7 @@ def image_shapes(spark, sf_dir):
 def channel_stats(spark, sf_dir):
     pixels = F.transform("embedding", lambda x: F.abs(x * 255).cast("int"))
     out = stats.channel_stats(read(spark, sf_dir, "embeddings").select("label", pixels.alias("pixels")), "pixels", ["label"], 4)
-    return out.select("label", *(r6(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in ("min", "max", "mean", "std") for k in (0, 3)), "count")
+    return out.select("label", *(r6(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in ("min", "max", "mean", "std") for k in range(4)), "count")
 
 
 def command_synthesis(spark, sf_dir):

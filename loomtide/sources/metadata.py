@@ -6,11 +6,13 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtide.model import IngestError
 
+# Names and types of metadata version 2.0.
 V2_DDL = """`$schema` string, schema_version string, uuid string, robot struct<uri:string,type:string,id:string,checksum:string>,
 files array<struct<type:string,name:string,checksum:string>>, environment struct<type:string,site:string,location:string>,
 runner struct<type:string,organization:string,name:string>, devices array<struct<role:string,type:string,id:string>>,
@@ -28,6 +30,22 @@ def detect_version(meta: Mapping[str, Any]) -> str:
     raise IngestError("metadata has neither a schema_version 2.x nor a version 1.x")
 
 
+def version_of(text: Column) -> Column:
+    """detect_version over a column of JSON texts; null where there is no known version."""
+    new, old = F.get_json_object(text, "$.schema_version"), F.get_json_object(text, "$.version")
+    return F.when(new.startswith("2."), "2").when(old.startswith("1."), "1")
+
+
+def parsed(text: Column) -> Column:
+    """Version 2.0 JSON texts as nested rows; null for other texts, which upgrade takes one by one."""
+    return F.when(version_of(text) == "2", F.from_json(text, V2_DDL))
+
+
+def segment_label(meta: Column, index: int) -> Column:
+    """The label of a parsed recording's segment; null if there is none."""
+    return F.get(meta["labels"], F.get(meta["segments"], F.lit(index))["label_idx"])
+
+
 def validate(meta: Mapping[str, Any]) -> dict[str, Any]:
     """The metadata as a dict, if programs, files and labels are there and label numbers fit."""
     for part in ("uuid", "programs", "files", "labels", "episode"):

@@ -18,7 +18,7 @@ try:
     from loomtide.llm import queries as llm
 except ModuleNotFoundError:
     llm = None
-EXTRA = ["op1_embedding_dedup", "op2_packing", "op3_topk_bitsliced", "op5_secret_scan", "op6_token_counts", "op7_simhash", "op9_pii", "op10_bpe"]
+EXTRA = ["op1_embedding_dedup", "op2_packing", "op3_topk_bitsliced", "op4_quality", "op5_secret_scan", "op6_token_counts", "op7_simhash", "op8_toxicity", "op9_pii", "op10_bpe", "pipeline"]
 
 
 def main() -> None:

@@ -16,7 +16,9 @@ from loomtide.session import session
 HEADLINE = ["sync_zoh", "sync_nearest", "sync_timestamp_merge", "tf_buffer", "tf_chain", "delta_transform_target", "shift_future_edge", "topic_timing_metrics", "segment_metrics", "duration_percentile_rank", "segment_assemble", "episode_axes", "list_stats", "task_remap", "episode_renumber"]
 try:
     from loomtide.llm import queries as llm
-except ModuleNotFoundError:
+except ImportError as missing:
+    if missing.name not in {"loomtide.llm", "loomtide.llm.queries", "corpus_pipeline"}:
+        raise
     llm = None
 EXTRA = ["op1_embedding_dedup", "op2_packing", "op3_topk_bitsliced", "op4_quality", "op5_secret_scan", "op6_token_counts", "op7_simhash", "op8_toxicity", "op9_pii", "op10_bpe", "pipeline"]
 

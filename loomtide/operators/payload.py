@@ -11,14 +11,22 @@ from pyspark.sql.window import Window
 from loomtide.functions.naming import camera_info_topic
 
 
-def indexed(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "index") -> DataFrame:
-    """df with each row's number in its topic, from 0."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+def indexed(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "index", unique: bool = False) -> DataFrame:
+    """df with each row's number in its topic, from 0.
+
+    Where by and order together are unique and never null, numbers are found on those columns alone
+    and joined to the rows, so that a topic's payloads are not sorted in one task.
+    """
+    number = (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long")
+    if not unique:
+        return df.withColumn(name, number)
+    keys = [*by, *order]
+    return df.join(df.select(*keys).withColumn(name, number), keys).select(*(F.col(f"`{c}`") for c in df.columns), name)
 
 
-def externalized(df: DataFrame, data: str, by: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def externalized(df: DataFrame, data: str, by: Sequence[str], order: Sequence[str], unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """(table, payloads): the table has index in place of its bytes, the payloads by, index and bytes."""
-    both = indexed(df, by, order)
+    both = indexed(df, by, order, unique=unique)
     return both.drop(data), both.select(*by, "index", F.col(data).alias("bytes"))
 
 

@@ -318,7 +318,7 @@ def metadata_json(spark, sf_dir):
 
 def payload_lookup(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.col("html").cast("binary").alias("data"))
-    table, side = payload.externalized(p, "data", ["host"], ["page_id"])
+    table, side = payload.externalized(p, "data", ["host"], ["page_id"], unique=True)
     return payload.lookup(table, side, ["host"]).select("page_id", "host", "index", F.octet_length("bytes").alias("n_bytes"))
 
 

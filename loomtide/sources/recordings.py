@@ -177,7 +177,9 @@ def ingest(spark: SparkSession, paths: Sequence[str], require_metadata: bool = F
         apart = way != "plain" and externalized(defs) != defs and not (way == "image" and any(p.endswith(".bag") for p in paths))
         df = decoded(raw, defs, apart)
         if apart:
-            df = indexed(df, [UUID], [TIMESTAMP, "seq"])
+            # Messages are numbered before they are decoded, and without their bytes.
+            slim = raw.select(UUID, F.col("log_time").alias(TIMESTAMP), "seq")
+            df = df.join(indexed(slim, [UUID], [TIMESTAMP, "seq"]), [UUID, TIMESTAMP, "seq"])
             form = F.col("format") if "format" in df.columns else F.col("encoding") if "encoding" in df.columns else F.lit("")
             payloads.append(df.select(UUID, F.lit(topic).alias("topic"), INDEX, payload_format(form).alias("extension"), form.alias("ros_format"), F.col("__bytes").alias("bytes")))
             df = df.drop("__bytes")

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomtide.model import SYNCED, Recording, TransformError
+from loomtide.model import SYNCED, UUID, Recording, TransformError
 from loomtide.operators import episodes as ep
 from loomtide.operators import stats
+from loomtide.operators.checkpoints import checkpointed
 from loomtide.operators.merge import check_compatible, global_tasks, remapped, renumbered, task_map
 from loomtide.sources import metadata
 
@@ -100,24 +101,56 @@ def feature_of(df: DataFrame, name: str, feature: ep.Feature | None = None) -> d
     return out | ({"description": feature.description} if feature and feature.description else {})
 
 
-def frames(spark: SparkSession, recording: Recording, features: Sequence[ep.Feature], per_segment: bool, spacing_s: float) -> DataFrame:
-    """All episodes' frames with features, annotations and axes."""
-    meta = recording.metadata
-    segments = metadata.segments_frame(spark, meta).drop("rosbag_uuid")
-    parts = ep.projected(recording.tables, features)
-    segments = ep.overlapping(segments, ep.synced_range(parts))
-    joined = ep.assembled(parts, segments)
-    tasks = ep.registered_tasks(meta["labels"], meta["episode"].get("label") or "")
-    whole = F.lit(tasks[meta["episode"]["label"]]) if meta["episode"].get("label") else F.lit(-1)
-    number = F.element_at(F.create_map(*(F.lit(v) for pair in tasks.items() for v in pair)), F.col("segment_label"))
-    order = [SYNCED]
-    marked = ep.annotated(joined, ["segment_index"], order, number, F.col("segment_success"), whole)
+def _tasks(metas: Sequence[Mapping[str, Any]]) -> dict[str, int]:
+    """Label -> task index by first occurrence over the recordings, each one's episode label after its labels."""
+    out: dict[str, int] = {}
+    for meta in metas:
+        for label in ep.registered_tasks(meta["labels"], meta["episode"].get("label") or ""):
+            out.setdefault(label, len(out))
+    return out
+
+
+def _segments(spark: SparkSession, metas: Sequence[Mapping[str, Any]], tasks: Mapping[str, int]) -> DataFrame:
+    """All recordings' segments with their task's number and that of their whole recording (-1 without)."""
+    labels = spark.createDataFrame(list(tasks.items()), "segment_label string, __task long")  # one row a label
+    wholes = spark.createDataFrame([(m["uuid"], tasks.get(m["episode"].get("label") or "", -1)) for m in metas], f"{UUID} string, __whole long")
+    rows = reduce(DataFrame.unionByName, (metadata.segments_frame(spark, m) for m in metas))
+    return rows.join(labels, "segment_label").join(wholes, UUID)
+
+
+def frames(spark: SparkSession, recording: Recording, metas: Sequence[Mapping[str, Any]], features: Sequence[ep.Feature], per_segment: bool, spacing_s: float) -> DataFrame:
+    """All episodes' frames with features, annotations and axes; several recordings are told apart by rosbag_uuid."""
+    by = [UUID] if len(metas) > 1 else []
+    segments = _segments(spark, metas, _tasks(metas))
+    parts = ep.projected(recording.tables, features, by)
+    segments = ep.overlapping(segments if by else segments.drop(UUID), ep.synced_range(parts, by), by)
+    joined = ep.assembled(parts, segments, by)
+    marked = ep.annotated(joined, [*by, "segment_index"], [SYNCED], F.col("__task"), F.col("segment_success"), F.col("__whole"))
     if per_segment:
-        out = ep.numbered(marked, ["segment_index"], order, ["segment_index"], spacing_s)
-    else:  # one episode: its frames in segment order; the window runs over one recording
+        out = ep.numbered(marked, [*by, "segment_index"], [SYNCED], [*by, "segment_index"], spacing_s)
+    elif by:  # a recording is an episode: its frames in segment order
+        out = ep.numbered(marked, by, ["segment_index", SYNCED], by, spacing_s)
+    else:
         out = ep.axes(marked, [], ["segment_index", SYNCED], spacing_s)
-    flat = stats.structs_to_lists(out.drop("start_s", "end_s", "label_idx", "segment_label", "segment_success", SYNCED))
-    return flat
+    return stats.structs_to_lists(out.drop("start_s", "end_s", "label_idx", "segment_label", "segment_success", "__task", "__whole", SYNCED))
+
+
+def is_hidden(column: str) -> bool:
+    """Whether a column of frames has no place in the files."""
+    return column in ("segment_index", UUID) or column.startswith("image_index_")
+
+
+def spacing(recording: Recording, metas: Sequence[Mapping[str, Any]], features: Sequence[ep.Feature]) -> tuple[float, int]:
+    """(seconds between frames, frames a second), which all recordings must share."""
+    by = [UUID] if len(metas) > 1 else []
+    parts = ep.projected(recording.tables, features, by)
+    times = reduce(DataFrame.unionByName, (p.select(*by, SYNCED) for p in parts.values()))
+    found = ep.frame_spacing(times, by).select("spacing_s", "fps").distinct().limit(2).collect()
+    if not found:
+        raise TransformError("fewer than two synced times: there is no frame spacing")
+    if len(found) > 1:
+        raise TransformError("the recordings differ in their frame spacing")
+    return found[0]["spacing_s"], found[0]["fps"]
 
 
 def write_episodes(df: DataFrame, out_dir: str, chunk: int = CHUNK) -> list[dict[str, int]]:
@@ -125,9 +158,8 @@ def write_episodes(df: DataFrame, out_dir: str, chunk: int = CHUNK) -> list[dict
 
     A task streams its episodes' rows in order and holds one batch at a time.
     """
-    hidden = [c for c in df.columns if c == "segment_index" or c.startswith("image_index_")]
     names = df.columns  # with dots, which only plain names in the plan can carry
-    schema = to_arrow_schema(df.select(*(F.col(f"`{c}`") for c in names if c not in hidden)).schema)
+    schema = to_arrow_schema(df.select(*(F.col(f"`{c}`") for c in names if not is_hidden(c))).schema)
     at_episode, at_frame = (f"c{names.index(c)}" for c in ("episode_index", "frame_index"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +199,7 @@ def episode_stats(df: DataFrame) -> dict[int, dict[str, Any]]:
     """Statistics of every numeric column of every episode, by episode_index: one row each reaches the driver."""
     out: dict[int, dict[str, Any]] = {}
     for f in df.schema.fields:
-        if f.name.startswith("image_index_") or f.name == "segment_index":
+        if is_hidden(f.name):
             continue
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.NumericType, T.BooleanType)):
             table = stats.list_stats(df.withColumn("__v", F.col(f"`{f.name}`")), "__v", ["episode_index"])
@@ -208,34 +240,33 @@ def info(n_episodes: int, n_frames: int, n_tasks: int, n_videos: int, fps: int,
 
 
 def write_training_set(spark: SparkSession, recording: Recording, features: Sequence[ep.Feature], out_dir: str, per_segment: bool = False) -> dict[str, Any]:
-    """A recording's episodes and metadata; gives info.json's content."""
-    meta = metadata.validate(recording.metadata)
-    parts = ep.projected(recording.tables, features)
-    timing = ep.frame_spacing(reduce(DataFrame.unionByName, (p.select(SYNCED) for p in parts.values()))).first()
-    if timing is None:
-        raise TransformError("fewer than two synced times: there is no frame spacing")
+    """Episodes and metadata of one recording or, with a list of metadata, of several; gives info.json's content."""
+    given = recording.metadata if isinstance(recording.metadata, list) else [recording.metadata]
+    metas = sorted((metadata.validate(m) for m in given), key=lambda m: m["uuid"])
+    if len({m["uuid"] for m in metas}) < len(metas):
+        raise TransformError("several recordings have one uuid")
+    spacing_s, fps = spacing(recording, metas, features)
     # The same rows feed several outputs, so they are written once.
-    from loomtide.operators.checkpoints import checkpointed
-
-    df = checkpointed(frames(spark, recording, features, per_segment, timing["spacing_s"]))
+    df = checkpointed(frames(spark, recording, metas, features, per_segment, spacing_s))
     if complaints := ep.length_check(df, features):
         raise TransformError("; ".join(complaints))
     written = write_episodes(df, out_dir)
-    tasks = ep.registered_tasks(meta["labels"], meta["episode"].get("label") or "")
-    names = list(tasks)
-    if per_segment:
-        which = {r["episode_index"]: r["segment_index"] for r in df.select("episode_index", "segment_index").distinct().collect()}
-        lines = [episode_record(meta, names, w["episode_index"], w["length"], bool(meta["segments"][which[w["episode_index"]]]["success"]), which[w["episode_index"]]) for w in written]
-    else:
-        last = bool(meta["segments"][-1]["success"]) if meta["segments"] else False
-        lines = [episode_record(meta, names, w["episode_index"], w["length"], last) for w in written]
+    all_tasks, of = _tasks(metas), {m["uuid"]: m for m in metas}
+    own = df.select("episode_index", F.col(UUID) if UUID in df.columns else F.lit(metas[0]["uuid"]).alias(UUID), F.col("segment_index") if per_segment else F.lit(None).cast("int").alias("segment_index"))
+    which = {r["episode_index"]: (of[r[UUID]], r["segment_index"]) for r in own.distinct().collect()}  # one row an episode
+    lines = []
+    for w in written:
+        meta, segment = which[w["episode_index"]]
+        names = list(ep.registered_tasks(meta["labels"], meta["episode"].get("label") or ""))
+        judged = meta["segments"][-1 if segment is None else segment] if meta["segments"] else {"success": False}
+        lines.append(episode_record(meta, names, w["episode_index"], w["length"], bool(judged["success"]), segment))
     _lines(f"{out_dir}/meta/episodes.jsonl", lines)
-    _lines(f"{out_dir}/meta/tasks.jsonl", [{"task_index": k, "task": t} for t, k in tasks.items()])
+    _lines(f"{out_dir}/meta/tasks.jsonl", [{"task_index": k, "task": t} for t, k in all_tasks.items()])
     figures = episode_stats(df)
     _lines(f"{out_dir}/meta/episodes_stats.jsonl", [{"episode_index": e["episode_index"], "episode_id": e["episode_id"], "stats": figures.get(e["episode_index"], {})} for e in lines])
     known = {f.name: f for f in features}
-    described = {c: feature_of(df, c, known.get(c)) for c in df.columns if c != "segment_index" and not c.startswith("image_index_")}
-    about = info(len(lines), sum(e["length"] for e in lines), len(tasks), 0, timing["fps"], described, meta["robot"].get("type") or "")
+    described = {c: feature_of(df, c, known.get(c)) for c in df.columns if not is_hidden(c)}
+    about = info(len(lines), sum(e["length"] for e in lines), len(all_tasks), 0, fps, described, metas[0]["robot"].get("type") or "")
     with open(f"{out_dir}/meta/info.json", "w", encoding="utf-8") as f:
         json.dump(about, f, indent=2, ensure_ascii=False)
     return about

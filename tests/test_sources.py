@@ -294,6 +294,28 @@ def test_pipeline_and_merge(spark, mcap, tmp_path):
     assert sorted(r["index"] for r in rows.collect()) == list(range(rows.count())) and (tmp_path / "all/data/chunk-000/episode_000002.parquet").exists()
 
 
+@pytest.mark.parametrize("per_segment", [True, False])
+def test_training_set_of_two_recordings(spark, mcap, tmp_path, per_segment):
+    (tmp_path / "in2").mkdir()
+    with open(tmp_path / "in2/z.mcap", "wb") as f:
+        containers.write_mcap(f, recording_messages(12), "zstd")
+    other = {**META, "uuid": "u2", "labels": ["place", "wipe"], "episode": {**META["episode"], "label": "clean"}}
+    (tmp_path / "in2/meta.json").write_text(json.dumps(other))
+    out = tmp_path / "set"
+    Pipeline([stage_of(c) for c in stages(str(out), per_segment)[1:]]).run(ingest(spark, [mcap, str(tmp_path / "in2/z.mcap")]), spark)
+    alone = []
+    for name, path in (("one", mcap), ("two", str(tmp_path / "in2/z.mcap"))):
+        Pipeline([stage_of(c) for c in stages(str(tmp_path / name), per_segment)[1:]]).run(ingest(spark, [path]), spark)
+        alone += [json.loads(x) for x in (tmp_path / name / "meta/episodes.jsonl").read_text().splitlines()]
+    lines = [json.loads(x) for x in (out / "meta/episodes.jsonl").read_text().splitlines()]
+    tasks = {json.loads(x)["task"]: json.loads(x)["task_index"] for x in (out / "meta/tasks.jsonl").read_text().splitlines()}
+    assert [e["episode_index"] for e in lines] == list(range(4 if per_segment else 2)) and tasks == {"pick": 0, "place": 1, "all": 2, "wipe": 3, "clean": 4}
+    assert [{**e, "episode_index": 0} for e in lines] == [{**e, "episode_index": 0} for e in alone]
+    rows = spark.read.parquet(*[str(p) for p in (out / "data").rglob("*.parquet")]).orderBy("index").collect()
+    assert [r["index"] for r in rows] == list(range(sum(e["length"] for e in alone))) and "rosbag_uuid" not in rows[0].asDict()
+    assert {(r.episode_index, r.task_index, r.short_horizon_task_index) for r in rows} == ({(0, 0, 2), (1, 1, 2), (2, 1, 4), (3, 3, 4)} if per_segment else {(0, 0, 2), (0, 1, 2), (1, 1, 4), (1, 3, 4)})
+
+
 def test_orchestrator_failures(spark, mcap, tmp_path):
     bad = str(tmp_path / "bad.mcap")
     open(bad, "wb").write(b"no")

@@ -61,7 +61,10 @@ CARD_ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 DIAL_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 PRIVATE_IPS = r"^(?:0\.|10\.|127\.|192\.168\.|169\.254\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)"
 IBAN_COUNTRIES = "^(?:AT|BE|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM)"
-LABELERS = 4
+#: What EM starts from, and holds on to as if PRIOR_WEIGHT candidates had shown it: how often each labeler
+#: (form, gazetteer, words before, edges) says yes to personal data, and to what is none.
+PRIORS, PRIOR_WEIGHT = ((0.95, 0.1), (0.8, 0.2), (0.7, 0.1), (0.9, 0.6)), 10.0
+LABELERS = len(PRIORS)
 
 
 def _digits(s: Column) -> Column:
@@ -187,7 +190,7 @@ def _features(k: int, votes: tuple[int, ...], size: int) -> list[str]:
 
 def estimate(rows: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 50) -> tuple[list[float], list[tuple[float, float]]]:
     """EM over (kind, votes, size, count): each row's probability of yes, and the labelers' rates."""
-    rates = [(0.8, 0.2)] * LABELERS
+    rates = list(PRIORS)
     prior = {k: 0.5 for k, *_ in rows}
     post = [0.5] * len(rows)
     for _ in range(rounds):
@@ -202,7 +205,8 @@ def estimate(rows: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 50
             prior[k] = (sum(p * n for p, n in own) + 1) / (sum(n for _, n in own) + 2)
         rates = []
         for i in range(LABELERS):
-            hit, false, yes, no = 4.0, 1.0, 5.0, 5.0  # weak prior: labelers are better than chance
+            yes = no = PRIOR_WEIGHT
+            hit, false = PRIORS[i][0] * yes, PRIORS[i][1] * no
             for p, (_, votes, _, n) in zip(post, rows, strict=True):
                 if votes[i] >= 0:
                     yes, no = yes + p * n, no + (1 - p) * n
@@ -218,7 +222,7 @@ def train(found: DataFrame, rounds: int = 300) -> SpanModel:
     table = found.select(one).select(*(F.col(f"c.{n}").alias(n) for n in names)).groupBy(*names).count()
     rows = sorted((r["k"], tuple(r[f"v{i}"] for i in range(LABELERS)), r["size"], r["count"]) for r in table.collect())
     if not rows:
-        return SpanModel({"bias": -20.0}, [(0.8, 0.2)] * LABELERS)
+        return SpanModel({"bias": -20.0}, list(PRIORS))
     post, rates = estimate(rows)
     names = sorted({f for k, v, s, _ in rows for f in _features(k, v, s)})
     place = {f: i for i, f in enumerate(names)}

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from compare import differences
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -98,6 +99,15 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), BYTE).count() == 0
 
 
+@pytest.mark.parametrize("group", [3, 1000])
+def test_packing_does_not_depend_on_partitions(spark, docs, group):
+    """As few sequences from one partition as from many, within what a window for each group can add."""
+    count = lambda df: packing.pack(df, BYTE, 256, group=group).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum("offset").alias("o"))
+    one, many = count(docs.coalesce(1)).collect(), count(docs.repartition(40)).collect()
+    assert sum(r.n for r in one) == sum(r.n for r in many) and max(r.n for r in [*one, *many]) <= 256
+    assert group < 1000 or abs(len(one) - len(many)) <= 1
+
+
 def test_best_fit_against_a_plain_search():
     rng = random.Random(4)
     for size in (1, 7, 64, 400):
@@ -245,12 +255,48 @@ def test_personal_data_against_brute_force(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_personal_data_query(spark, tmp_path):
+    made = [*texts(300, 9, [*PII_PARTS, " Dr. Anna Weber ", " 123-45-6789 ", " DE89 3704 0044 0532 0130 00 ", " (212) 555-0188 "]), None, ""]
+    spark.createDataFrame([*enumerate(made), (None, "a@b.com")], "doc_id long, text string").withColumn("found", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(queries.op9_pii(spark, str(tmp_path)))
+    for k, t in [*enumerate(made), (None, "a@b.com")]:
+        base = found_by(PERSONAL, t or "")
+        assert [got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone] == [sum(s[0] == kind for s in base) for kind in PERSONAL]
+        assert got[k].base_sha256 == hashed(base)
+        shown = [s.split(":") for s in got[k].spans.split(",") if s]
+        assert [(kind, int(s), int(e)) for kind, s, e in shown if kind in PERSONAL] == base
+
+
+def test_further_personal_data(spark):
+    """Kinds beyond the base are found by the trained classifier: well-formed ones among words that speak for them."""
+    rng = random.Random(12)
+    good = ["regards, Dr. Anna Weber and", "tax and social security 123-45-6789 is", "transfer to account DE89370400440532013000 by", "call the phone 212-555-0188 or"]
+    poor = ["part 000-00-0000 of", "number 99912-123-456-78901x", "code XX00AAAA0000BBBB1 is"]
+    rows = [(k, " ".join(rng.choice(good if k % 2 else poor) for _ in range(3))) for k in range(400)]
+    spans = {r.doc_id: {s.kind for s in r.spans} for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = set().union(*(spans[k] for k, _ in rows if k % 2))
+    assert {"name", "ssn", "iban", "tel"} <= found
+    assert sum("ssn" in spans[k] for k, _ in rows if not k % 2) == 0
+
+
+def test_long_text_of_personal_data(spark):
+    began = time.perf_counter()
+    t = "mail bob.smith@example.com or 10.0.0.1 now " * 24_000
+    r = pii.find(spark.createDataFrame([(1, t)], "doc_id long, text string")).selectExpr("size(spans) as n", "element_at(spans, -1).end as e").first()
+    assert r.n == 48_000 and r.e == len(t) - 5 and time.perf_counter() - began < 60
+
+
 def test_labelers_reliability():
     rows = [(0, (1, 1, -1, 1), 1, 90), (0, (0, 0, -1, 1), 1, 60), (0, (1, 1, 1, 0), 1, 5), (0, (0, 1, -1, 0), 1, 3)]
     post, rates = pii.estimate(rows)
     assert post[0] > 0.9 and post[1] < 0.2 and rates[0][0] > 0.9 and rates[0][1] < 0.2
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    assert differences(queries.queries()[name](spark, "/root/testdata/sf0.001"), queries.oracle_sql()[name], "/root/testdata/sf0.001") == []
+
+
 def test_queries_have_unique_names():
     names = list(queries.queries())
     assert sorted(n.split("_")[0] for n in names if n != "pipeline") == sorted(f"op{k}" for k in range(1, 11))

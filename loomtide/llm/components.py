@@ -9,7 +9,7 @@ cut by a checkpoint.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomtide.llm.common import checkpointed
@@ -42,6 +42,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(edges.groupBy("a").agg(F.min("b").alias("b")))
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges behind a checkpoint, and their number as it was written (only to see whether it is still changing)."""
+    seen = Observation()
+    now = checkpointed(edges.observe(seen, F.count(F.lit(1)).alias("n")))
+    return now, seen.get["n"]
+
+
+def _within(some: DataFrame, others: DataFrame) -> bool:
+    return some.join(others, ["a", "b"], "left_anti").isEmpty()
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for each node that some edge touches.
 
@@ -50,15 +61,13 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds:
     path would need to be longer than 2**max_rounds for.
     """
     clean = edges.select(F.greatest(left, right).cast("long").alias("a"), F.least(left, right).cast("long").alias("b")).where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("a") > F.col("b"))).distinct()
-    now = checkpointed(clean)
-    size = now.count()
+    now, size = _counted(clean)
     for _ in range(max_rounds):
         if not size:
             break
         before, size_before = now, size
-        now = checkpointed(_small_star(_large_star(now)).distinct())
-        size = now.count()
-        if size == size_before and now.join(before, ["a", "b"], "left_anti").isEmpty():
+        now, size = _counted(_small_star(_large_star(now)).distinct())
+        if size == size_before and _within(now, before) and _within(before, now):
             break
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")

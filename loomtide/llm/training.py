@@ -19,7 +19,7 @@ from loomtide.llm.tokenization import BoundedCache
 MAX_ROWS_PER_CLASS = 3000
 #: And at most so many bytes of them, as whole texts; half for each class, and what one leaves for both.
 MAX_BYTES = 64 << 20
-CACHE = 400_000
+CACHE = 200_000
 
 
 def held_out(folds: int, fold: int):

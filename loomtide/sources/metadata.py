@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from typing import Any
+from dataclasses import MISSING, asdict, dataclass, fields, is_dataclass
+from typing import Any, get_args, get_origin, get_type_hints
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,124 @@ episode struct<start_time:double,end_time:double,success:boolean,label:string>,
 segments array<struct<start_time:double,end_time:double,label_idx:int,success:boolean>>"""
 
 
+@dataclass(frozen=True)
+class Robot:
+    type: str
+    id: str
+    uri: str | None = None
+    checksum: str | None = None
+
+
+@dataclass(frozen=True)
+class File:
+    type: str
+    name: str
+    checksum: str | None = None
+
+
+@dataclass(frozen=True)
+class Environment:
+    type: str
+    site: str
+    location: str = ""
+
+
+@dataclass(frozen=True)
+class Runner:
+    type: str
+    organization: str
+    name: str
+
+
+@dataclass(frozen=True)
+class Device:
+    role: str
+    type: str
+    id: str = ""
+
+
+@dataclass(frozen=True)
+class Git:
+    uri: str | None
+    hash: str
+    branch: str
+    tag: str | None = None
+
+
+@dataclass(frozen=True)
+class Source:
+    git: Git | None = None
+
+
+@dataclass(frozen=True)
+class Program:
+    role: str
+    name: str
+    source: Source | None = None
+
+
+@dataclass(frozen=True)
+class Episode:
+    start_time: float
+    end_time: float
+    success: bool
+    label: str = ""
+
+
+@dataclass(frozen=True)
+class Segment:
+    start_time: float
+    end_time: float
+    label_idx: int
+    success: bool
+
+
+@dataclass(frozen=True)
+class Metadata:
+    """Version 2.0 metadata as objects; typed makes it of a dict, and plain gives the dict back."""
+
+    uuid: str
+    robot: Robot
+    files: tuple[File, ...]
+    environment: Environment
+    runner: Runner
+    programs: tuple[Program, ...]
+    episode: Episode
+    labels: tuple[str, ...]
+    devices: tuple[Device, ...] = ()
+    segments: tuple[Segment, ...] = ()
+    schema_version: str = "2.0"
+
+    def plain(self) -> dict[str, Any]:
+        return json.loads(json.dumps(asdict(self)))
+
+
+def typed(meta: Mapping[str, Any]) -> Metadata:
+    """A dict's metadata as objects, after validate; a missing field without a default, or one of another type, is an error."""
+
+    def made(kind: Any, value: Any, at: str) -> Any:
+        if get_origin(kind) is tuple:
+            return tuple(made(get_args(kind)[0], v, f"{at}[{k}]") for k, v in enumerate(value or ()))
+        options = [k for k in (get_args(kind) or (kind,)) if k is not type(None)]
+        if value is None and type(None) in get_args(kind):
+            return None
+        if is_dataclass(options[0]):
+            if not isinstance(value, Mapping):
+                raise IngestError(f"metadata has no {at}")
+            hints = get_type_hints(options[0])
+            lost = [f.name for f in fields(options[0]) if f.name not in value and f.default is MISSING]
+            if lost:
+                raise IngestError(f"metadata lacks {at}.{lost[0]}")
+            return options[0](**{f.name: made(hints[f.name], value[f.name], f"{at}.{f.name}") for f in fields(options[0]) if f.name in value})
+        if options[0] is float and isinstance(value, int) and not isinstance(value, bool):
+            value = float(value)
+        if not isinstance(value, options[0]):
+            raise IngestError(f"metadata's {at} is {value!r}, not of type {options[0].__name__}")
+        return value
+
+    return made(Metadata, validate(meta), "metadata")
+
+
 def detect_version(meta: Mapping[str, Any]) -> str:
     """2 or 1: schema_version beginning with 2. wins, else version beginning with 1."""
     if str(meta.get("schema_version", "")).startswith("2."):

@@ -166,6 +166,15 @@ def test_metadata_upgrade(spark):
         metadata.validate({**new, "labels": []})
 
 
+def test_typed_metadata():
+    m = metadata.typed(META)
+    assert m.programs[0].source.git.hash == "h" and m.segments[1].label_idx == 1 and m.robot.uri is None
+    assert metadata.typed(m.plain()) == m and metadata.typed(metadata.parse(json.dumps(old_metadata([3, 5, 7], 7)))).episode.label == "t2"
+    for bad in ({"robot": None}, {"robot": {"id": "x"}}, {"episode": {**META["episode"], "success": "yes"}}, {"segments": [{"start_time": 0.0}]}):
+        with pytest.raises((IngestError, KeyError)):
+            metadata.typed({**META, **bad})
+
+
 def png16(a, kind):
     h, w = a.shape
     raw, above = b"", np.zeros(2 * w, dtype=int)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtide.model import NS, TIMESTAMP, TransformError, seconds_to_ns
-from loomtide.operators.asof import BUCKET_NS, bucket_of
+from loomtide.operators.asof import BUCKET_NS
+from loomtide.operators.previous import with_previous
 
 MS = 1_000_000.0
 TIMING = ("message_count", "first_message_timestamp_ns", "last_message_timestamp_ns", "observed_topic_span_s", "episode_coverage_ratio", "observed_hz", "median_topic_interval_ms", "topic_interval_cv", "max_topic_interval_ms", "max_interval_over_median")
@@ -27,18 +28,9 @@ def sliced(df: DataFrame, start: Column, end: Column, time: str = TIMESTAMP) ->
 
 
 def intervals_ms(df: DataFrame, by: Sequence[str], time: str = TIMESTAMP, name: str = "interval_ms", bucket_ns: int = BUCKET_NS) -> DataFrame:
-    """df with the milliseconds since the row before in its group; null in the first row, and where time is null.
-
-    A bucket's first row needs the last time of the nearest earlier bucket. Those times, one for
-    each bucket, are unioned in as rows that stand before all others of their bucket.
-    """
-    held = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
-    rows = df.select(*by, F.col(time).cast("long").alias("__t"), held).withColumn("__bucket", bucket_of(F.col("__t"), bucket_ns))
-    last = rows.where("__t is not null").groupBy(*by, "__bucket").agg(F.max("__t").alias("__last"))
-    carried = last.select(*by, "__bucket", F.lag("__last").over(Window.partitionBy(*by).orderBy("__bucket")).alias("__t")).where("__t is not null")
-    both = rows.withColumn("__own", F.lit(1)).unionByName(carried.withColumn("__own", F.lit(0)).withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)))
-    before = F.lag("__t").over(Window.partitionBy(*by, "__bucket").orderBy("__t", "__own"))
-    return both.withColumn(name, (F.col("__t") - before) / F.lit(MS)).where("__own = 1").select("__row.*", name)
+    """df with the milliseconds since the row before in its group; null in the first row, and where time is null."""
+    out = with_previous(df, by, time, F.col(time).cast("long"), "__previous", bucket_ns)
+    return out.withColumn(name, (F.col(time).cast("long") - F.col("__previous")) / F.lit(MS)).drop("__previous")
 
 
 def _medians(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

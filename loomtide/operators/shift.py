@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from loomtide.functions.geometry import aligned, quat, vec
 from loomtide.model import TIME_COLUMNS, EnrichError, keys_of
+from loomtide.operators.previous import with_previous
 
 
 def order_of(df: DataFrame) -> str:
@@ -49,15 +50,20 @@ def shifted(df: DataFrame, steps: int, fill: str = "edge", by: Sequence[str] | N
     return out.select(*(filled(c).alias(c) if c in moved else F.col(f"`{c}`") for c in df.columns))
 
 
+def _before(df: DataFrame, by: Sequence[str] | None, order: Sequence[str] | None, value: Column, name: str) -> DataFrame:
+    """df with the value of the row before: by the table's time, in buckets of it, or by a given order over small groups."""
+    by = keys_of(df) if by is None else list(by)
+    if order is None:
+        return with_previous(df, by, order_of(df), value, name)
+    return df.withColumn(name, F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def delta_array(df: DataFrame, column: str = "position", name: str = "delta_position", by: Sequence[str] | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """name = column - column of the row before, element by element; zeros in the first row."""
-    by = keys_of(df) if by is None else list(by)
-    order = [order_of(df)] if order is None else list(order)
-    before = F.lag(column).over(Window.partitionBy(*by).orderBy(*order))
     minus = F.zip_with(column, "__before", lambda a, b: a - b)
     uneven = F.raise_error(F.concat(F.lit(f"{column} changes its length from "), F.size("__before").cast("string"), F.lit(" to "), F.size(column).cast("string")))
     delta = F.when(F.col("__before").isNull(), F.transform(column, lambda a: a - a)).when(F.size(column) != F.size("__before"), uneven).otherwise(minus)
-    return df.withColumn("__before", before).withColumn(name, delta).drop("__before")
+    return _before(df, by, order, F.col(column), "__before").withColumn(name, delta).drop("__before")
 
 
 _XYZ, _XYZW = ("x", "y", "z"), ("x", "y", "z", "w")
@@ -108,12 +114,9 @@ def delta_pose(current: Column, previous: Column, frame: str = "previous_target_
 
 def delta_transforms(df: DataFrame, frame: str = "previous_target_frame", by: Sequence[str] | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """df with delta_transform beside each transform struct, at any depth of structs."""
-    by = keys_of(df) if by is None else list(by)
-    order = [order_of(df)] if order is None else list(order)
     paths = transform_paths(df.schema)
     if not paths:
         raise EnrichError("there is no transform to difference")
-    w = Window.partitionBy(*by).orderBy(*order)
 
     def at(path: tuple[str, ...]) -> Column:
         c = F.col(f"`{path[0]}`")
@@ -121,12 +124,12 @@ def delta_transforms(df: DataFrame, frame: str = "previous_target_frame", by: Se
             c = c.getField(name)
         return c
 
-    out = df.withColumns({f"__p{k}": F.lag(at(p)).over(w) for k, p in enumerate(paths)})
-    out = out.withColumns({f"__d{k}": delta_pose(at(p), F.col(f"__p{k}"), frame) for k, p in enumerate(paths)})
+    out = _before(df, by, order, F.struct(*(at(p).alias(f"p{k}") for k, p in enumerate(paths))), "__p")
+    out = out.withColumns({f"__d{k}": delta_pose(at(p), F.col(f"__p.p{k}"), frame) for k, p in enumerate(paths)})
     for k, p in enumerate(paths):
         if len(p) == 1:
             out = out.withColumn("delta_transform", F.col(f"__d{k}"))
         else:
             inner = ".".join(f"`{n}`" for n in (*p[1:-1], "delta_transform"))
             out = out.withColumn(p[0], F.col(f"`{p[0]}`").withField(inner, F.col(f"__d{k}")))
-    return out.drop(*(f"__{a}{k}" for a in "pd" for k in range(len(paths))))
+    return out.drop("__p", *(f"__d{k}" for k in range(len(paths))))

@@ -100,6 +100,17 @@ def test_delta_transform(spark, frame):
             assert turned(q0, turned(tuple(d.rotation), v)) == pytest.approx(turned(q1, v))
 
 
+def test_deltas_over_many_buckets(spark):
+    """Rows hours apart, which fall into buckets of their own, and null values among them."""
+    rng = random.Random(7)
+    hours = sorted(rng.sample(range(400), 60))
+    rows = [(h * 3_600_000_000_000 + rng.randrange(10**12), None if k % 9 == 5 else [float(k * k), -float(k)]) for k, h in enumerate(hours)]
+    df = spark.createDataFrame([(u, t, p) for u in ("x", "y") for t, p in rows], "rosbag_uuid string, timestamp_ns long, position array<double>")
+    got = shift.delta_array(df).orderBy("rosbag_uuid", "timestamp_ns").collect()
+    want = [None if p is None else [0.0, 0.0] if q is None else [p[0] - q[0], p[1] - q[1]] for (_, q), (_, p) in zip([(0, None), *rows], rows, strict=False)]
+    assert [r.delta_position for r in got] == want * 2
+
+
 def test_opposite_quaternions_are_one_rotation(spark):
     _, q = random_pose(random.Random(3))
     df = spark.createDataFrame([(0, pose(q=q)), (1, pose(q=tuple(-c for c in q)))], f"timestamp_ns long, transform {POSE}")

@@ -13,6 +13,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -111,11 +112,17 @@ class TextBPE:
         return " ".join(map(self._decoded.__getitem__, runs))
 
 
+@functools.lru_cache(maxsize=1)
+def of_worker(path: str) -> TextBPE:
+    """The worker's own coder, whose caches serve all of its tasks."""
+    return TextBPE(path)
+
+
 def encode_decode(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of df (doc_id, text)."""
 
     def make() -> Callable[[list[str]], list]:
-        bpe = TextBPE(path)
+        bpe = of_worker(path)
 
         def work(texts: list[str]) -> list:
             counts, ids, decoded = [], [], []
@@ -136,7 +143,7 @@ def encoded(df: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of each row of df: the operator's own output."""
 
     def make() -> Callable[[list[str]], list]:
-        bpe = TextBPE(path)
+        bpe = of_worker(path)
         return lambda texts: [[[int(i) for run in bpe.ids(t) for i in run.split()] for t in texts]]
 
     return per_text(documents(df), make, [("ids", pa.list_(pa.int32()))], "ids array<int>")
@@ -149,7 +156,7 @@ def decoded(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "id
     strings = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.array_join(F.col(ids_col).cast("array<string>"), " "), F.lit("")).alias("text"))
 
     def make() -> Callable[[list[str]], list]:
-        bpe = TextBPE(path)
+        bpe = of_worker(path)
         return lambda runs: [[bpe.decode([r.encode()]) if r else "" for r in runs]]
 
     return per_text(strings, make, [("decoded", pa.string())], "decoded string")

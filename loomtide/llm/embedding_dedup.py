@@ -9,7 +9,7 @@ Exact copies, found by a 128-bit hash of label and vector, are one node from the
 are numbers: vectors are moved once, and then only for buckets that hold several. Buckets of one
 vector, nearly all of them, are dropped on their keys alone. A larger bucket is processed in blocks
 of about BLOCK vectors: pairs of blocks are separate groups, so a hot bucket is spread over
-tasks. A group checks labels, and cosines in double precision, counts each pair in the first table
+tasks. Of buckets with the same members, as a tight group has them in many tables, one is processed. A group checks labels, and cosines in double precision, counts each pair in the first table
 that joins it, and emits for each vector its number of new links and the least node of its local
 component, never the pairs themselves.
 
@@ -126,7 +126,11 @@ def linked(nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     """(node, links, root) over nodes (node, label, vector, copies): new links by table, and local roots."""
     signed = checkpointed(nodes.select("node", "label", "copies", "vector").mapInArrow(_signed, "node long, label string, copies long, vector array<double>, sigs array<long>"))
     keyed = signed.select("node", "label", F.size("vector").alias("dim"), F.posexplode("sigs").alias("t", "sig")).select("node", "t", F.xxhash64("label", "dim", "t", "sig").alias("key"))
-    shared = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("shared_key"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    # A bucket with the very members of an earlier table's has no pair that isn't counted there.
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in range(2)]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t"), *members).where("n > 1")
+    first = buckets.groupBy("n", "x0", "x1").agg(F.min_by("key", "t").alias("shared_key"))
+    shared = checkpointed(first.select("shared_key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = keyed.join(shared, F.col("key") == F.col("shared_key")).select("node", "t", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select(F.col("node").alias("of"), "t", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))

@@ -115,12 +115,18 @@ def _decodes(token: bytes) -> bool:
     return True
 
 
+@functools.lru_cache(maxsize=1)
+def of_worker(path: str, proven: frozenset[bytes]) -> Counter:
+    """The worker's own counter, whose caches serve all of its tasks."""
+    return Counter(path, proven)
+
+
 def token_counts(df: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of df (doc_id, text)."""
     proven = proven_tokens(path)
 
     def make() -> Callable[[list[str]], list]:
-        count = Counter(path, proven)
+        count = of_worker(path, proven)
         return lambda texts: [[len(t.encode()) for t in texts], [count(t) for t in texts]]
 
     counts = per_text(documents(df), make, [("n_bytes", pa.int64()), ("n_tokens", pa.int64())], "n_bytes long, n_tokens long")

@@ -64,9 +64,10 @@ def one_of_each(df: DataFrame, classes: DataFrame) -> DataFrame:
     """df (doc_id, text and others) with one row of each class: that of least doc_id, one without an
     id only if all are. classes has doc_id, text_hash and class for each row of df."""
     first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("row"))
-    first = first.select(F.col("row.doc_id").alias("first_id"), F.col("row.text_hash").alias("first_hash"))
-    met = F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.col("row_hash") == F.col("first_hash"))
-    return df.withColumn("row_hash", text_hash(F.col("text"))).join(first, met, "left_semi").dropDuplicates(["doc_id", "row_hash"]).drop("row_hash")
+    keys = {"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__row_unnamed": F.col("doc_id").isNull(), "__row_hash": text_hash(F.col("text"))}
+    chosen = first.select(F.coalesce("row.doc_id", F.lit(0)).alias("__row_id"), F.col("row.unnamed").alias("__row_unnamed"), F.col("row.text_hash").alias("__row_hash"))
+    # Plain keys without nulls: rows are dealt by them once, for the join and for repeated rows.
+    return df.withColumns(keys).join(chosen, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:

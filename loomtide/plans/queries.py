@@ -158,7 +158,7 @@ def month(ev: DataFrame) -> DataFrame:
 
 def topic_timing_metrics(spark, sf_dir):
     ev = events(spark, sf_dir)
-    out = metrics.topic_metrics(ev, month(ev), REC, REQUIRED)
+    out = metrics.topic_metrics(ev, month(ev), REC, REQUIRED, bucket_ns=BUCKET)
     rounded = [r6(c).alias(c) if c not in ("message_count", "first_message_timestamp_ns", "last_message_timestamp_ns") else F.col(c) for c in metrics.TIMING]
     return out.select("rec", "topic", *rounded, "is_required_topic")
 
@@ -170,14 +170,14 @@ def segments_frame(spark: SparkSession) -> DataFrame:
 
 
 def segment_metrics(spark, sf_dir):
-    out = metrics.segment_metrics(events(spark, sf_dir), segments_frame(spark), REC, REQUIRED)
+    out = metrics.segment_metrics(events(spark, sf_dir), segments_frame(spark), REC, REQUIRED, bucket_ns=BUCKET)
     return out.select("rec", "segment_index", "segment_label", "segment_success", r6("segment_duration_s").alias("segment_duration_s"), "has_all_required_topics", *(r6(c).alias(c) for c in ("minimum_required_segment_coverage_ratio", "worst_topic_max_interval_ms", "worst_topic_max_interval_over_median")))
 
 
 def episode_metrics(spark, sf_dir):
     ev = events(spark, sf_dir)
     eps = spark.range(4).select(F.col("id").alias("rec"), F.lit("bake").alias("episode_label"), (F.col("id") % 2 == 0).alias("episode_success"), F.lit(0.0).alias("start_s"), (F.col("id") * 10.0).alias("end_s"))
-    out = metrics.episode_metrics(metrics.topic_metrics(ev, month(ev), REC, REQUIRED), eps, REC, len(REQUIRED))
+    out = metrics.episode_metrics(metrics.topic_metrics(ev, month(ev), REC, REQUIRED, bucket_ns=BUCKET), eps, REC, len(REQUIRED))
     return out.select("rec", "episode_label", "episode_success", "episode_duration_s", "has_all_required_topics", *(r6(c).alias(c) for c in ("minimum_required_episode_coverage_ratio", "worst_topic_max_interval_ms", "worst_topic_max_interval_over_median", "worst_topic_interval_cv")))
 
 
@@ -189,7 +189,7 @@ def duration_percentile_rank(spark, sf_dir):
 
 def interval_ms(spark, sf_dir):
     ev = events(spark, sf_dir)
-    return metrics.intervals_ms(ev, TOPIC).select("rec", "topic", "seq", r6("interval_ms").alias("interval_ms"))
+    return metrics.intervals_ms(ev, TOPIC, bucket_ns=BUCKET).select("rec", "topic", "seq", r6("interval_ms").alias("interval_ms"))
 
 
 def field_path_index(spark, sf_dir):

@@ -8,9 +8,11 @@ scores of a segment alike). The sum is itself bit-sliced: from its most signific
 downward, rows that must be among the first k are separated from those that tie so far. Ties at
 the boundary go to smaller ids, and the rows chosen get their exact scores from their own bits.
 
-Segments are built where the rows lie, without a shuffle. Each segment meets every block of
-queries by an equi-join on spread keys, so no side is broadcast or gathered, and yields at most
-k rows for each query.
+Segments are built where the rows lie, without a shuffle. Segments and blocks of queries are dealt
+by spread keys, so no side is broadcast or gathered; a task holds the blocks of a key, passes each
+segment over them once and yields at most k rows for each query. Pairs of segment and block exist
+only there, not as rows. Segments are dealt to at most GROUPS groups, each of which gets a copy
+of the queries, so that copies don't multiply with the shuffle's partitions.
 
 Every finite vector takes part. Components of WIDE or more in size don't fit a long after
 quantising; their rows form segments of plain doubles, and they, and products that could pass a
@@ -40,9 +42,11 @@ WIDE = 2.0**54
 SEGMENT, QUERY_BLOCK = 32768, 256
 #: Each segment is sent to so many tasks, which share the query blocks.
 SPREAD = 4
+#: Each query block is sent to every group of segments: to so many at most.
+GROUPS = 128
 
 _SEGMENTS = pa.schema([("seg", pa.int64()), ("dim", pa.int32()), ("low", pa.int64()), ("bits", pa.int32()), ("ids", pa.binary()), ("slices", pa.binary())])
-_BLOCKS = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
+_BLOCKS = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("size", pa.int32()), ("values", pa.binary())])
 _TOP = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -187,8 +191,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for k, (_, ids, x) in enumerate(_by_length(batches, QUERY_BLOCK)):
-        row = [_number(k), x.shape[1], ids.astype("<i8").tobytes(), x.astype("<f8").tobytes()]
+    for k, (wide, ids, x) in enumerate(_by_length(batches, QUERY_BLOCK)):
+        values = x if wide else quantised(x)
+        size = 0 if wide else next(n for n in (2, 4, 8) if n == 8 or np.abs(values).max() < 1 << 8 * n - 1)
+        row = [_number(k), x.shape[1], ids.astype("<i8").tobytes(), size, values.astype(f"<i{size}" if size else "<f8").tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
 
@@ -209,12 +215,13 @@ class _Segment:
             self._plain = row_values(self.slices, self.low, np.arange(len(self.ids))).astype(object) if self.bits else exact(self.rows)
         return self._plain
 
-    def best(self, query_id: int, x: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+        """query: quantised, or plain doubles if it is wide."""
         first, last = np.searchsorted(self.ids, [query_id, query_id + 1])  # the query's own rows
-        query = quantised(x) if (np.abs(x) < WIDE).all() else None
-        if not self.bits or query is None or len(x) * int(np.abs(query).max()) * self.largest >= 1 << 63:
+        wide = query.dtype.kind == "f"
+        if not self.bits or wide or len(query) * int(np.abs(query).max()) * self.largest >= 1 << 63:
             others = np.r_[:first, last : len(self.ids)]
-            return plain_top(self.ids[others], self.plain()[others], exact(x), k)
+            return plain_top(self.ids[others], self.plain()[others], exact(query) if wide else query.astype(object), k)
         among = self.present
         if last > first:
             among = among.copy()
@@ -225,21 +232,31 @@ class _Segment:
 
 
 def _searched(k: int):
+    """Rows of blocks and segments, sorted by dim, g, h and kind (blocks first), to the best rows of each segment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, blocks = None, []
         for batch in batches:
-            bytes_of = lambda name: batch.column(name)[at].as_buffer()  # noqa: B023, E731
-            for at in range(batch.num_rows):
-                dim, low, bits = (batch.column(name)[at].as_py() for name in ("dim", "low", "bits"))
-                segment = _Segment(dim, low, bits, np.frombuffer(bytes_of("ids"), dtype="<i8"), bytes_of("slices"))
-                asked = np.frombuffer(bytes_of("q_ids"), dtype="<i8")
-                values = np.frombuffer(bytes_of("q_values"), dtype="<f8").reshape(len(asked), -1)
-                out: list[list] = [[], [], []]
-                for query_id, x in zip(asked.tolist(), values, strict=True):
-                    ids, scores = segment.best(query_id, x, k)
-                    out[0] += [query_id] * len(ids)
-                    out[1] += ids
-                    out[2] += scores
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_TOP)
+            names = ("dim", "g", "h", "kind", "low", "bits")
+            for at, (dim, g, h, kind, low, bits) in enumerate(zip(*(batch.column(name).to_pylist() for name in names), strict=True)):
+                if (dim, g, h) != key:
+                    key, blocks = (dim, g, h), []
+                ids, data = (batch.column(name)[at].as_buffer() for name in ("ids", "data"))
+                if kind == 0:  # copied, for the batch would stay with it
+                    blocks.append((bits, bytes(ids), bytes(data)))
+                    continue
+                segment = _Segment(dim, low, bits, np.frombuffer(ids, dtype="<i8"), data)
+                for size, own, stored in blocks:
+                    asked = np.frombuffer(own, dtype="<i8")
+                    values = np.frombuffer(stored, dtype=f"<i{size}" if size else "<f8").reshape(len(asked), -1)
+                    values = values.astype(np.int64) if size else values
+                    out: list[list] = [[], [], []]
+                    for query_id, query in zip(asked.tolist(), values, strict=True):
+                        found, scores = segment.best(query_id, query, k)
+                        out[0] += [query_id] * len(found)
+                        out[1] += found
+                        out[2] += scores
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_TOP)
 
     return run
 
@@ -250,14 +267,17 @@ def top_k(df: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec_id",
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", finite))
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ddl = "seg long, dim int, low long, bits int, ids binary, slices binary"
-    segments = rows.mapInArrow(_segments, ddl)
-    segments = segments.withColumn("g", F.pmod(F.xxhash64("seg"), F.lit(groups))).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = min(partitions, GROUPS)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    columns = ("dim", "g", "h", "kind", "low", "bits", "ids", "data")
+    segments = rows.mapInArrow(_segments, "seg long, dim int, low long, bits int, ids binary, slices binary")
+    segments = segments.withColumnsRenamed({"slices": "data"}).withColumn("kind", F.lit(1)).withColumn("g", dealt("seg", groups)).withColumn("h", spread(SPREAD))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    blocks = asked.mapInArrow(_blocks, "block long, dim int, ids binary, values binary").select("block", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    blocks = blocks.withColumn("q_h", F.pmod(F.xxhash64("block"), F.lit(SPREAD)).cast("int")).withColumn("q_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = segments.join(blocks, (F.col("dim") == F.col("q_dim")) & (F.col("g") == F.col("q_g")) & (F.col("h") == F.col("q_h")))
-    found = met.select("dim", "low", "bits", "ids", "slices", "q_ids", "q_values").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+    blocks = asked.mapInArrow(_blocks, "block long, dim int, ids binary, size int, values binary").withColumnsRenamed({"values": "data", "size": "bits"})
+    blocks = blocks.withColumn("low", F.lit(0).cast("long")).withColumn("kind", F.lit(0)).withColumn("h", dealt("block", SPREAD)).withColumn("g", spread(groups))
+    met = blocks.select(*columns).unionByName(segments.select(*columns)).repartition(partitions, "dim", "g", "h").sortWithinPartitions("dim", "g", "h", "kind")
+    found = met.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

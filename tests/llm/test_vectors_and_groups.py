@@ -141,6 +141,22 @@ def test_search_takes_vectors_of_any_size(spark, largest):
     assert sorted(tuple(r) for r in topk_bitsliced.top_k(df, F.col("vec_id") % 50 == 0).collect()) == sorted(want)
 
 
+def test_search_makes_no_rows_of_pairs(spark, monkeypatch):
+    """A segment isn't repeated for each block of queries, with fewer groups than partitions, too."""
+    monkeypatch.setattr(topk_bitsliced, "GROUPS", 2)
+    rng = np.random.default_rng(8)
+    x, ids = rng.standard_normal((900, 5)).astype(np.float32), rng.permutation(900)
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<float>").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    try:
+        found = topk_bitsliced.top_k(df, F.col("vec_id") % 50 == 0)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == sorted(brute_top(x, ids))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_small_segments(spark, monkeypatch):
     for lane, block in ((7, 2), (64, 1000)):
         rng = np.random.default_rng(lane)
